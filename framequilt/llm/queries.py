@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequilt.functions.text import blank_to_null, strip_ws, video_key
-from framequilt.llm.components import connected_components
+from framequilt.llm.bytecnn import ByteCNN
+from framequilt.llm.languages import code_column, identify, labelled_sample, train
 from framequilt.llm.mixing import mix
 from framequilt.llm.packing import pack, pack_report
 from framequilt.llm.repetition import repetition, repetitive
@@ -182,7 +183,26 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["name"],) for r in _p8(spark, sf_dir)[1] if r["short"]], "source string")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report)}
+# ---- 9: languages
+
+
+def language_net(spark: SparkSession, sf_dir: str) -> ByteCNN:
+    return train(labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id"))
+
+
+def p9_passages(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
+    """Every passage with its language and confidence, beside the document's main language and label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", code_column(F.col("lang")).alias("label"), "text")
+    return identify(docs, "text", ["doc_id", "label"], language_net(spark, sf_dir), with_text)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = p9_passages(spark, sf_dir, with_text=False).groupBy("doc_id", "label", "main_lang").agg(F.collect_set("lang").alias("langs"))
+    wrong = per.filter("label IS NULL OR label <> main_lang OR size(langs) > 1")
+    return wrong.select("doc_id", F.explode("langs").alias("found_lang"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages)}
 
 _KEY = r"""coalesce(nullif(regexp_replace(youtube_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''),
                   nullif(substr(regexp_extract(regexp_replace(video, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '([^/\\]*)$', 1), 1, 11), ''))"""
