@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framequilt.functions.text import blank_to_null, strip_ws, video_key
+from framequilt.functions.text import ANSWERING, ASKING, blank_to_null, clean_str, first_turn, strip_ws, video_key
 from framequilt.llm.bytecnn import ByteCNN
-from framequilt.llm.languages import code_column, identify, labelled_sample, train
+from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, defective_pairs, plain, train_tagger
+from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, train, weight
 from framequilt.llm.mixing import mix
 from framequilt.llm.packing import pack, pack_report
 from framequilt.llm.repetition import repetition, repetitive
@@ -202,7 +203,56 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.select("doc_id", F.explode("langs").alias("found_lang"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages)}
+# ---- 5: broken pairs
+
+
+def _asked(conversations):
+    return first_turn(conversations, ASKING)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, p = table(spark, sf_dir, "vqa_rows"), table(spark, sf_dir, "predictions")
+    turns = F.col("conversations")
+    rows = v.select(F.lit("vqa_rows").alias("origin"), F.col("row_id").alias("record_id"), F.lit("conversations").alias("field"), _asked(turns).alias("question"), first_turn(turns, ANSWERING).alias("answer"))
+    states_none = F.lower(clean_str(F.col("error"))).isin("", "none", "null")
+
+    def told(field: str, of: DataFrame) -> DataFrame:
+        return of.select(F.lit("predictions").alias("origin"), F.col("pred_id").alias("record_id"), F.lit(field).alias("field"), _asked(turns).alias("question"), F.col(field).alias("answer"))
+
+    return rows.unionByName(told("prediction", p.filter(states_none))).unionByName(told("gt_answer", p))
+
+
+def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple]:
+    """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of vqa_rows by the hash of the id."""
+    sample = labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    net = train(sample)
+    said = [(s, c) for t, c in zip(sample["text"], sample["code"], strict=True) for s in [x for x in sentences(t) if weight(x) >= 15][:3]]
+    sure = net.score([s for s, _ in said]).argmax(axis=1) if said else []
+    foreign = [(s, c) for (s, c), k in zip(said, sure, strict=True) if net.classes[k] == c]
+    rows = table(spark, sf_dir, "vqa_rows")
+    share = min(1.0, 1.3 * SAMPLE_PAIRS / max(1, rows.count()))
+    turns = F.col("conversations")
+    h = F.pmod(F.xxhash64("row_id"), F.lit(1 << 30))
+    picked = (
+        rows.filter(h <= int((1 << 30) * share))
+        .select(h.alias("h"), F.substring(_asked(turns), 1, SAMPLE_CHARS).alias("q"), F.substring(first_turn(turns, ANSWERING), 1, SAMPLE_CHARS).alias("a"))
+        .orderBy("h", "q", "a")
+        .limit(SAMPLE_PAIRS)
+        .collect()
+    )
+    return net, train_tagger([(plain(r["q"]), plain(r["a"])) for r in picked], foreign, net)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net, tagger = pair_models(spark, sf_dir)
+    return defective_pairs(_pairs(spark, sf_dir), ["origin", "record_id", "field"], "question", "answer", net, tagger)
+
+
+def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).groupBy("origin", "field", "defect").agg(F.count("*").alias("n_pairs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages, p5_found, p5_summary)}
 
 _KEY = r"""coalesce(nullif(regexp_replace(youtube_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''),
                   nullif(substr(regexp_extract(regexp_replace(video, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '([^/\\]*)$', 1), 1, 11), ''))"""
