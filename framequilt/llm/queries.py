@@ -13,6 +13,7 @@ from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, defective_pairs, plain, train_tagger
 from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, train, weight
 from framequilt.llm.mixing import mix
+from framequilt.llm.overlaps import canonical_records, cross_split_links, cross_split_pairs
 from framequilt.llm.packing import pack, pack_report
 from framequilt.llm.repetition import repetition, repetitive
 from framequilt.llm.sampling import sample_to_targets
@@ -203,6 +204,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrong.select("doc_id", F.explode("langs").alias("found_lang"))
 
 
+# ---- 4: records across splits
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.col("conversations")
+    rows = table(spark, sf_dir, "vqa_rows").select("row_id", _key().alias("key"), strip_ws(F.col("split")).alias("split"), first_turn(turns, ASKING).alias("q"), first_turn(turns, ANSWERING).alias("a"))
+    return cross_split_pairs(*cross_split_links(canonical_records(rows, "row_id", "key", "split", "q", "a")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p4(spark, sf_dir).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs, and rows that have any, of each evaluation split and source."""
+    rows = table(spark, sf_dir, "vqa_rows").select(F.col("row_id").alias("eval_id"), strip_ws(F.col("split")).alias("split"), _low(F.col("source")).alias("source"))
+    return _p4(spark, sf_dir).join(rows, "eval_id").groupBy("split", "source", "kind").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_rows"))
+
+
 # ---- 5: broken pairs
 
 
@@ -252,7 +272,7 @@ def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("origin", "field", "defect").agg(F.count("*").alias("n_pairs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages, p4_found, p4_report, p5_found, p5_summary)}
 
 _KEY = r"""coalesce(nullif(regexp_replace(youtube_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''),
                   nullif(substr(regexp_extract(regexp_replace(video, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '([^/\\]*)$', 1), 1, 11), ''))"""
