@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framequilt.functions.text import ANSWERING, ASKING, blank_to_null, clean_str, first_turn, strip_ws, video_key
 from framequilt.llm.bytecnn import ByteCNN
@@ -29,7 +30,7 @@ def _low(c):
     return F.lower(strip_ws(c))
 
 
-@F.pandas_udf("struct<surgery string, specialty string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("surgery", "specialty")]))
 def _entry(entries: pd.Series) -> pd.DataFrame:
     rows = []
     for e in entries:
