@@ -119,7 +119,7 @@ def grouped_metrics(scored: DataFrame, fields: Sequence[str] = GROUPS) -> DataFr
         c = F.col(f)
         return F.initcap(c.cast("string")) if kinds[f] == "boolean" else c.cast("string")
 
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in have])
+    entries = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in have]).cast("array<struct<field string, value string>>")
     long = scored.select("m_error", "m_pred", "m_ref", "m_ok", "m_em", "m_f1", "m_rouge", "m_judge", "m_unjudged", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("g"))
     return long.groupBy(F.col("g.field").alias("field"), F.col("g.value").alias("value")).agg(*_aggregates())
 

@@ -57,17 +57,17 @@ def normalize_plan(plan: Column, caption: Column, most: int = 3) -> Column:
 
 def valid_candidates(df: DataFrame, key: str, candidates: str, allowed: str) -> DataFrame:
     """Candidates exploded and filtered by the rules; of each category the first that passes them all. Adds position and candidate."""
-    rows = df.select("*", F.posexplode(candidates).alias("position", "c")).drop(candidates)
-    fmt = F.lower(F.trim(F.coalesce(F.col("c.format"), F.lit("open"))))
+    rows = df.select("*", F.posexplode(candidates).alias("position", "__item")).drop(candidates)
+    fmt = F.lower(F.trim(F.coalesce(F.col("__item.format"), F.lit("open"))))
     fmt = F.when(fmt.isin("open", "mcq"), fmt).otherwise("open")
     mcq = fmt == "mcq"
-    choice = F.expr("try_cast(c.correct_choice AS int)")
+    choice = F.expr("try_cast(__item.correct_choice AS int)")
     c = F.struct(
-        F.trim(F.coalesce(F.col("c.category"), F.lit(""))).alias("category"), clean_text(F.col("c.question")).alias("question"), clean_text(F.col("c.answer")).alias("answer"),
-        clean_text(F.col("c.rationale")).alias("rationale"), clean_text(F.col("c.evidence")).alias("evidence"), fmt.alias("format"),
-        F.when(mcq, F.transform(F.col("c.choices"), clean_text)).otherwise(F.array().cast("array<string>")).alias("choices"), F.when(mcq, choice).alias("correct_choice"),
+        F.trim(F.coalesce(F.col("__item.category"), F.lit(""))).alias("category"), clean_text(F.col("__item.question")).alias("question"), clean_text(F.col("__item.answer")).alias("answer"),
+        clean_text(F.col("__item.rationale")).alias("rationale"), clean_text(F.col("__item.evidence")).alias("evidence"), fmt.alias("format"),
+        F.when(mcq, F.transform(F.col("__item.choices"), clean_text)).otherwise(F.array().cast("array<string>")).alias("choices"), F.when(mcq, choice).alias("correct_choice"),
     )
-    rows = rows.withColumn("candidate", c).drop("c")
+    rows = rows.withColumn("candidate", c).drop("__item")
     ok = F.array_contains(F.col(allowed), F.col("candidate.category")) & (F.length("candidate.question") >= LEAST_LENGTH) & (F.length("candidate.answer") >= LEAST_LENGTH)
     ok = ok & ((F.col("candidate.format") == "open") | ((F.size("candidate.choices") == 4) & F.col("candidate.correct_choice").between(0, 3)))
     first = F.row_number().over(Window.partitionBy(key, "candidate.category").orderBy("position"))

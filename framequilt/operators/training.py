@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framequilt.functions.text import strip_ws
 from framequilt.operators.selection import sample_fraction
 
 # Kinds of training data and their views.
@@ -78,7 +79,7 @@ def placeholder_defect(conversations: Column, images: Column, videos: Column) ->
 def content_parts(text: Column) -> Column:
     """A human turn as parts in order: placeholders, and the stripped text between them."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), "(<image>|<video>)", "\u0001$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip_ws(s)), lambda s: s != "")
 
 
 def word_length(conversations: Column) -> Column:

@@ -541,7 +541,7 @@ def padded_sequences(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", training.pad_right(ids, F.lit(12), 0, 8).alias("ids"))
 
 
-@query("""SELECT row_id, array_to_string(list_filter(list_transform(string_split(replace(replace(q, '<video>', chr(1) || '<video>' || chr(1)), '<image>', chr(1) || '<image>' || chr(1)), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> ''), '#') AS parts FROM (SELECT row_id, coalesce((list_filter(conversations, lambda t: t."from" = 'human')[1]).value, '') AS q FROM vqa_rows)""")
+@query("""SELECT row_id, array_to_string(list_filter(list_transform(string_split(replace(replace(q, '<video>', chr(1) || '<video>' || chr(1)), '<image>', chr(1) || '<image>' || chr(1)), chr(1)), lambda s: regexp_replace(s, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lambda s: s <> ''), '#') AS parts FROM (SELECT row_id, coalesce((list_filter(conversations, lambda t: t."from" = 'human')[1]).value, '') AS q FROM vqa_rows)""")
 def content_parts(spark, d):
     human = F.get(F.filter("conversations", lambda t: t["from"] == "human"), F.lit(0))["value"]
     return _t(spark, d, "vqa_rows").select("row_id", F.array_join(training.content_parts(human), "#").alias("parts"))
