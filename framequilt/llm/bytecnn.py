@@ -12,8 +12,8 @@ import numpy as np
 
 WINDOW = 96
 WIDTHS = (2, 3, 4, 5)
-FILTERS = 24
-EMBED = 12
+FILTERS = 16
+EMBED = 8
 _SPAN = max(WIDTHS)
 
 
@@ -53,12 +53,16 @@ class ByteCNN:
         }
         self.p["embed"][0] = 0
 
-    def _pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _convolved(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Filter responses at each place (n x window x filters), and the padded bytes."""
         padded = np.concatenate([x, np.zeros((len(x), _SPAN - 1), dtype=np.uint8)], axis=1)
         e = self.p["embed"][padded]
         cols = np.lib.stride_tricks.sliding_window_view(e, _SPAN, axis=1)  # n, window, EMBED, SPAN
         cols = np.ascontiguousarray(cols.transpose(0, 1, 3, 2)).reshape(-1, _SPAN * EMBED)
-        conv = (cols @ self.p["kernel"]).reshape(len(x), x.shape[1], -1)
+        return (cols @ self.p["kernel"]).reshape(len(x), x.shape[1], -1), padded
+
+    def _pooled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        conv, padded = self._convolved(x)
         at = conv.argmax(axis=1)
         top = np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0, :] + self.p["bias"]
         return np.maximum(top, 0), at, padded
@@ -69,7 +73,8 @@ class ByteCNN:
         for i in range(0, len(x), chunk):
             # short windows are computed with short ones: what lies behind all of them is padding
             part = x[i : i + chunk]
-            z = self._pooled(part)[0] @ self.p["out"] + self.p["out_bias"]
+            top = self._convolved(part)[0].max(axis=1) + self.p["bias"]
+            z = np.maximum(top, 0) @ self.p["out"] + self.p["out_bias"]
             z -= z.max(axis=1, keepdims=True)
             out[i : i + chunk] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
