@@ -32,9 +32,11 @@ _CODE = {n: code for code, names in LANGUAGE_NAMES.items() for n in names}
 SAMPLE_DOCS = 260
 SAMPLE_SENTENCES = 6
 SAMPLE_CHARS = 8_000
-EPOCHS = 6
+EPOCHS = 8
 #: Letters (ideographs count three) that a passage needs to stand for a language of its own.
 LEAST_LETTERS = 15
+#: Distinct words that a sentence needs to stand for a language of its own; an ideograph counts one.
+LEAST_WORDS = 3
 #: Least log odds of a passage's language against the document's main language.
 LEAST_ODDS = 4.0
 
@@ -42,6 +44,8 @@ _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])|\n+")
 _ASIDE = re.compile(r"[(（][^()（）]{1,40}[)）]")
 _QUOTE = re.compile(r"[\"“”„«»]")
 _LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
 _IDEOGRAPH = re.compile(r"[㐀-鿿]")
 
 
@@ -65,7 +69,8 @@ def once(s: str) -> str:
 
 def weight(s: str) -> int:
     """Letters of a sentence, ideographs three times."""
-    return len(_LETTER.findall(s)) + 2 * len(_IDEOGRAPH.findall(s))
+    letters = len(_NO_LETTERS.sub("", s))
+    return letters if s.isascii() else letters + 2 * len(_IDEOGRAPH.findall(s))
 
 
 def code_column(label: Column) -> Column:
@@ -113,17 +118,25 @@ def train(sample: pd.DataFrame, seed: int = 0) -> ByteCNN:
     return net
 
 
-def passages(parts: list[str], scores: np.ndarray) -> list[tuple[int, float, list[int]]]:
-    """Runs of sentences in one language: (language, confidence, sentences).
+def passages(parts: list[str], scores: np.ndarray, label: int | None = None) -> list[tuple[int, float, list[int], int]]:
+    """Runs of sentences in one language: (language, confidence, sentences, letters).
 
     The main language has the most letters. A sentence counts for another one where it is long enough and its log odds
-    against the main language suffice; a foreign run that doesn't is taken as main.
+    against the main language suffice; a foreign run that doesn't is taken as main. A label stands unless the distinct
+    sentences together speak against it by those odds: a text that repeats one word says little.
     """
-    w = np.array([weight(once(p)) for p in parts])
+    kept = [once(p) for p in parts]
+    w = np.array([weight(p) for p in kept])
+    whole = np.array([len(set(_WORD.findall(p.lower()))) >= LEAST_WORDS or len(_IDEOGRAPH.findall(p)) >= LEAST_WORDS for p in kept])
     best = scores.argmax(axis=1)
-    main = int(np.bincount(best, weights=w, minlength=scores.shape[1]).argmax())
+    # sentences of a word or two decide only where there are no others
+    main = int(np.bincount(best, weights=w * (whole if whole.any() else 1), minlength=scores.shape[1]).argmax())
+    if label is not None and label != main:
+        first = list({p: i for i, p in enumerate(kept)}.values())
+        if (scores[first, main] - scores[first, label]).sum() < LEAST_ODDS:
+            main = label
     odds = scores.max(axis=1) - scores[:, main]
-    lang = np.where((w >= LEAST_LETTERS) & (odds >= LEAST_ODDS), best, main)
+    lang = np.where(whole & (w >= LEAST_LETTERS) & (odds >= LEAST_ODDS), best, main)
     out: list[tuple[int, float, list[int]]] = []
     for i, k in enumerate(lang.tolist()):
         if out and out[-1][0] == k:
@@ -134,17 +147,18 @@ def passages(parts: list[str], scores: np.ndarray) -> list[tuple[int, float, lis
     for k, _, at in out:
         z = scores[at].sum(axis=0) / max(1, len(at))
         z = z - z.max()
-        done.append((k, float(np.exp(z[k]) / np.exp(z).sum()), at))
+        done.append((k, float(np.exp(z[k]) / np.exp(z).sum()), at, int(w[at].sum())))
     return done
 
 
-def identify(docs: DataFrame, text: str, keep: list[str], net: ByteCNN, with_text: bool = True) -> DataFrame:
-    """One row per passage: the columns ``keep`` (names other than those below), passage (number), lang, confidence, letters, main_lang, main_confidence, passage_text (null unless ``with_text``).
+def identify(docs: DataFrame, text: str, keep: list[str], net: ByteCNN, with_text: bool = True, label: str | None = None) -> DataFrame:
+    """One row per passage: the columns ``keep`` (names other than those below), passage (number), lang, confidence, letters, main_lang, main_confidence, passage_text (null unless ``with_text``). ``label`` names the column of ``keep`` that holds the two-letter code of the label, if there is one.
 
     Texts without any letter give no row. Whole texts are read, in windows of fixed length and in batches of bounded size.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     held = docs.sparkSession.sparkContext.broadcast(net)  # about 120 kB
+    number = {code: i for i, code in enumerate(LANGUAGES)}
     cols = ["passage", "lang", "confidence", "letters", "main_lang", "main_confidence", "passage_text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,6 +167,7 @@ def identify(docs: DataFrame, text: str, keep: list[str], net: ByteCNN, with_tex
             for start in range(0, len(pdf), 500):
                 part = pdf.iloc[start : start + 500]
                 split = [sentences(t) if isinstance(t, str) else [] for t in part["__text"]]
+                codes = [number.get(x) for x in part[label]] if label else [None] * len(part)
                 scores = model.score([once(s) for p in split for s in p])
                 rows, index, at = [], [], 0
                 for i, p in enumerate(split):
@@ -160,15 +175,14 @@ def identify(docs: DataFrame, text: str, keep: list[str], net: ByteCNN, with_tex
                     at += len(p)
                     if not p:
                         continue
-                    runs = passages(p, own)
+                    runs = passages(p, own, codes[i])
                     share = np.zeros(len(LANGUAGES))
                     conf = np.zeros(len(LANGUAGES))
-                    sizes = [sum(weight(p[j]) for j in js) for _, _, js in runs]
-                    for (k, c, _), n in zip(runs, sizes, strict=True):
+                    for k, c, _, n in runs:
                         share[k] += max(n, 1e-6)
                         conf[k] += c * max(n, 1e-6)
                     main = int(share.argmax())
-                    for no, ((k, c, js), n) in enumerate(zip(runs, sizes, strict=True)):
+                    for no, (k, c, js, n) in enumerate(runs):
                         rows.append((no, LANGUAGES[k], c, n, LANGUAGES[main], conf[main] / share[main], " ".join(p[j] for j in js) if with_text else None))
                         index.append(i)
                 out = part[keep].iloc[index].reset_index(drop=True)

@@ -196,7 +196,7 @@ def language_net(spark: SparkSession, sf_dir: str) -> ByteCNN:
 def p9_passages(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
     """Every passage with its language and confidence, beside the document's main language and label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", code_column(F.col("lang")).alias("label"), "text")
-    return identify(docs, "text", ["doc_id", "label"], language_net(spark, sf_dir), with_text)
+    return identify(docs, "text", ["doc_id", "label"], language_net(spark, sf_dir), with_text, "label")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
