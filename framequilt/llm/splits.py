@@ -111,7 +111,9 @@ def assign_splits(rows: DataFrame, entity: str, value: str, label: str, targets:
     label_at = {x: i + 1 for i, x in enumerate(top)}
     width = len(top) + 2
     code = F.coalesce(F.create_map(*[F.lit(y) for kv in label_at.items() for y in kv])[F.col("label")], F.lit(width - 1)) if top else F.lit(1)
-    comp = per.groupBy("component").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct(code.alias("c"), F.col("n").alias("n"))).alias("labels"))
+    # summed by code first: a component's list is as long as there are codes
+    coded = per.groupBy("component", code.alias("c")).agg(F.sum("n").alias("n"))
+    comp = coded.groupBy("component").agg(F.sum("n").alias("n_rows"), F.collect_list(F.struct("c", "n")).alias("labels"))
     comp = cut(comp.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "component"), F.lit(1_000_000)) / 1_000_000.0))
     totals = np.zeros(width)
     for r in per.select(code.alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n")).collect():
