@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from framequilt.llm.apportion import largest_remainder
 from framequilt.session import cut
 
-#: Buckets of the random key. Only the bucket in which a quota ends is ranked row by row.
-KEY_BUCKETS = 4096
+#: Leading bits of the random key (0 to 2^63 - 1) by which keys are counted. Only the bucket in which a quota ends is ranked row by row.
+KEY_BITS = 12
 
 
 def _array(field: str) -> Column:
@@ -86,10 +86,10 @@ def smallest_keys(rows: DataFrame, cell: str, key: str, row_id: str, quotas: Dat
     Keys are counted by bucket first. Whole buckets below the limit are taken without any ranking; only the bucket in
     which the quota ends is sorted, so no task sorts a whole cell.
     """
-    keyed = rows.withColumn("__bucket", F.pmod(F.shiftright(F.col(key), 20), F.lit(KEY_BUCKETS)).cast("int"))
+    keyed = rows.withColumn("__bucket", F.shiftright(F.col(key), 63 - KEY_BITS).cast("int"))
     hist = keyed.groupBy(cell, "__bucket").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(cell).orderBy("__bucket"))
-    # cells x KEY_BUCKETS rows at most
+    # cells x 2^KEY_BITS rows at most
     limits = hist.join(F.broadcast(quotas), cell).withColumn("upto", upto).withColumn("whole", F.col("upto") <= F.col("quota"))
     limits = limits.filter(F.col("upto") - F.col("n") < F.col("quota")).select(cell, "__bucket", "whole", (F.col("quota") - F.col("upto") + F.col("n")).alias("__left"))
     hit = keyed.join(limits, [cell, "__bucket"])
@@ -109,7 +109,7 @@ def sample_to_targets(rows: DataFrame, row_id: str, fields: list[str], targets:
     report = category_report(rows, fields, targets, n_sample)
     scarce = {f: [t["category"] for t in sorted((t for t in report if t["field"] == f), key=lambda t: (t["available"] / max(1, t["quota"]), t["category"]))] for f in fields}
     firsts = [_first_of(f, scarce[f]) for f in fields]
-    celled = rows.select(row_id, *fields, F.to_json(F.array(*firsts)).alias("cell"), F.array(*firsts).alias("cats"), F.abs(F.xxhash64(F.lit(seed), row_id)).alias("key"))
+    celled = rows.select(row_id, *fields, F.to_json(F.array(*firsts)).alias("cell"), F.array(*firsts).alias("cats"), F.xxhash64(F.lit(seed), row_id).bitwiseAND(F.lit((1 << 63) - 1)).alias("key"))
     # at most the product of (categories + 1) over the fields
     found = celled.groupBy("cell").agg(F.count("*").alias("n"), F.first("cats").alias("cats")).orderBy("cell").collect()
     quotas = cell_quotas([tuple(r["cats"]) for r in found], [r["n"] for r in found], fields, report, n_sample)
