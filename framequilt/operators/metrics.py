@@ -133,8 +133,7 @@ def judge_without_call(df: DataFrame) -> DataFrame:
 
 
 def distribution(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows and percentage of each value, most frequent first, ties by name. The total is counted from the groups, not from the rows again."""
+    """Rows and percentage of each value, most frequent first, ties by name. The total is summed from the groups, not from the rows again."""
     counts = df.groupBy(*columns).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    # one row
-    return counts.crossJoin(F.broadcast(total)).select(*columns, "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("percent")).orderBy(F.desc("n"), *columns)
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("percent", F.round(100.0 * F.col("n") / total, 4)).orderBy(F.desc("n"), *columns)

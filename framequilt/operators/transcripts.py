@@ -18,13 +18,19 @@ def chunk_seconds(transcript: Column, failed: Column) -> Column:
 
 
 def with_offsets(chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """Chunks with their text, ``failed`` and ``offset_sec``: the lengths of all earlier chunks of the video. A failed chunk (null transcript or stated error) has a marked text and no segments or words."""
+    """Chunks with their text, ``failed`` and ``offset_sec``: the lengths of all earlier chunks of the video. A failed chunk (null transcript or stated error) has a marked text and no segments or words.
+
+    ``order`` is unique within a video. Only lengths go through the window; the transcripts are joined to their offsets by (video, order), so that one long video doesn't pile its texts up in one task.
+    """
     failed = F.col("transcript").isNull() | (F.coalesce(strip_ws(F.col("error")), F.lit("")) != "")
-    w = Window.partitionBy(key).orderBy(order)
-    before = F.coalesce(F.sum("chunk_sec").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    number = F.row_number().over(w)
-    text = F.when(failed, F.format_string("[ERROR: Failed to transcribe chunk %d]", number)).otherwise(F.coalesce(F.col("transcript.text"), F.lit("")))
-    return chunks.withColumn("failed", failed).withColumn("chunk_sec", chunk_seconds(F.col("transcript"), F.col("failed"))).withColumns({"offset_sec": before, "chunk_text": text})
+    rows = chunks.withColumn("failed", failed).withColumn("chunk_sec", chunk_seconds(F.col("transcript"), F.col("failed")))
+    w = Window.partitionBy("__key").orderBy("__order")
+    narrow = rows.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.col("chunk_sec").alias("__sec"))
+    before = F.coalesce(F.sum("__sec").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = narrow.select("__key", "__order", before.alias("offset_sec"), F.row_number().over(w).alias("__number"))
+    joined = rows.join(placed, F.col(key).eqNullSafe(F.col("__key")) & (F.col(order) == F.col("__order")))
+    text = F.when(F.col("failed"), F.format_string("[ERROR: Failed to transcribe chunk %d]", "__number")).otherwise(F.coalesce(F.col("transcript.text"), F.lit("")))
+    return joined.withColumn("chunk_text", text).drop("__key", "__order", "__number")
 
 
 def _shifted(field: str, text: str) -> Column:
