@@ -81,7 +81,7 @@ def _block_gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     close()
                 now, m = (k, b), IntervalMap()
                 if carry == carry and carry is not None:
-                    # all that earlier blocks cover, seen from here: it can end a gap at no start of its own
+                    # what earlier blocks cover, as one interval that ends at the carry
                     m.insert(min(int(carry), s) - 1, int(carry))
             m.insert(s, e)
         if out:
