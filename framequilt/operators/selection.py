@@ -75,17 +75,21 @@ def procedure_label(*candidates: Column) -> Column:
     return F.coalesce(*[F.when(F.lower(strip_ws(c)) != "unknown", blank_to_null(c)) for c in candidates], F.lit(""))
 
 
-def latest_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The last row of each key, with ``first_seen``: the place where the key came first. Partial aggregation, no sort; ``order`` is unique."""
-    cols = df.columns
+def latest_per_key(df: DataFrame, key: Column, order: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """The last row of each key, with ``first_seen``: the place where the key came first. ``order`` is unique.
+
+    Rows are reduced to one per key and task before the shuffle. Name in ``keep`` the columns that are needed: a row
+    travels whole, so the scan reads whatever is in it.
+    """
+    cols = list(keep) if keep is not None else df.columns
     named = df.select(key.alias("__key"), F.col(order).alias("__order"), F.struct(*cols).alias("__row"))
     kept = named.groupBy("__key").agg(F.max_by("__row", "__order").alias("r"), F.min("__order").alias("first_seen"))
     return kept.select("r.*", "first_seen")
 
 
-def first_per_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of each key."""
-    cols = df.columns
+def first_per_key(df: DataFrame, key: Column, order: str, keep: Sequence[str] | None = None) -> DataFrame:
+    """The first row of each key; ``keep`` as above."""
+    cols = list(keep) if keep is not None else df.columns
     named = df.select(key.alias("__key"), F.col(order).alias("__order"), F.struct(*cols).alias("__row"))
     return named.groupBy("__key").agg(F.min_by("__row", "__order").alias("r")).select("r.*")
 

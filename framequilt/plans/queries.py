@@ -110,7 +110,7 @@ def _numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     rows = _numbered(spark, d)
-    return score_rows(selection.latest_per_key(rows, metric_key(rows), "line_no"))
+    return score_rows(selection.latest_per_key(rows, metric_key(rows), "line_no", ["category", "format", "model", "prediction", "gt_answer", "conversations", "error"]))
 
 
 _METRICS = ["n_total", "n_success", "n_error", "n_missing_prediction", "n_missing_reference", "exact_match", "token_f1"]
@@ -165,13 +165,13 @@ def row_keys(spark, d):
 SELECT max(pred_id) AS pred_id, max_by(attempt, pred_id) AS attempt, min(pred_id) AS first_seen FROM k GROUP BY key""")
 def dedup_latest(spark, d):
     rows = _numbered(spark, d)
-    return selection.latest_per_key(rows, metric_key(rows), "line_no").select(F.col("line_no").alias("pred_id"), "attempt", "first_seen")
+    return selection.latest_per_key(rows, metric_key(rows), "line_no", ["line_no", "attempt"]).select(F.col("line_no").alias("pred_id"), "attempt", "first_seen")
 
 
 @query(f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {NORM.format('text')}")
 def first_wins(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", "text")
-    return selection.first_per_key(rows, normalize_text(F.col("text")), "doc_id").select("doc_id")
+    return selection.first_per_key(rows, normalize_text(F.col("text")), "doc_id", ["doc_id"])
 
 
 @query(f"SELECT pred_id, CASE WHEN {ERROR} IS NULL AND {PRED} = '' THEN 0 END AS llm_judge_score, CASE WHEN {ERROR} IS NOT NULL THEN 'Skipped due to row error: ' || {ERROR} WHEN {PRED} = '' THEN 'Empty prediction.' WHEN {REF} = '' THEN 'Missing reference answer.' END AS llm_judge_reason, {ERROR} IS NULL AND {PRED} <> '' AND {REF} <> '' AS needs_call FROM predictions")
