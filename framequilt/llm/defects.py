@@ -1,7 +1,8 @@
 """Broken prompt and response pairs: clauses of the response tagged by a conditional random field.
 
 Nobody has labelled the pairs. The field is trained on sound pairs of the data, taken by strict rules, and on copies of
-them that are broken on purpose in each of the ways to be found.
+them that are broken on purpose in each of the ways to be found. Only the weights are fitted on a sample: how words
+are used, and the language of most questions, is counted over all pairs.
 """
 
 from __future__ import annotations
@@ -10,21 +11,26 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.crf import CRF
 from framequilt.llm.languages import LEAST_LETTERS, weight
+from framequilt.session import cut, parallelism
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 DEFECT = {"refusal": "refusal", "echo": "copies_question", "foreign": "other_language", "unfinished": "truncated"}
 #: Bounds of the training sample: pairs, and characters read of each.
 SAMPLE_PAIRS = 3_000
 SAMPLE_CHARS = 2_000
+#: Characters of all counted words up to which their table is broadcast to the answers left open; a larger one is joined by shuffle, with the same result.
+BROADCAST_CHARS = 4_000_000
 #: Share of an answer's words that a tag must cover to name its defect.
 COVERAGE = 0.5
 
@@ -90,6 +96,14 @@ def ending(word: str, counts: dict[str, tuple[int, int]]) -> int:
     return 1 if last * 50 < n else 2 if last * 6 < n else 3
 
 
+def open_word(answer: str) -> str | None:
+    """The word an answer is left open at, where its ending is looked at: no choice letter, and more than five words. Else null."""
+    if _DONE.search(answer) or _CHOICE.match(answer):
+        return None
+    wc = [words(c) for c in clauses(answer)]
+    return (wc[-1] or [""])[-1] if sum(map(len, wc)) > 5 else None
+
+
 _NAMES = (
     [f"cue_{k}" for k in _CUES]
     + ["cue_self_unable", "cue_any", "cue_earlier"]
@@ -110,8 +124,11 @@ _NAMES = (
 _AT = {n: i for i, n in enumerate(_NAMES)}
 
 
-def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows of all clauses of all answers, clauses per answer, words per clause. Pairs are (question, answer), plain."""
+def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple[int, int]], ends: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows of all clauses of all answers, clauses per answer, words per clause. Pairs are (question, answer), plain.
+
+    ``ends`` are the counts of each answer's ``open_word``; without it they are looked up in ``counts``.
+    """
     split = [clauses(a) for _, a in pairs]
     spoken = net.score([c for cs in split for c in cs])
     asked = net.score([q for q, _ in pairs])
@@ -120,7 +137,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
     size = np.zeros(len(x), dtype=np.int64)
     n_finished, home = counts.get("", (0, -1))
     at = 0
-    for (q, a), cs, s in zip(pairs, split, asked, strict=True):
+    for no, ((q, a), cs, s) in enumerate(zip(pairs, split, asked, strict=True)):
         wq = words(q)
         bag = Counter(wq)
         wc = [words(c) for c in cs]
@@ -184,7 +201,8 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
                     f[_AT["last_open"]] = 1
                     f[_AT["last_mark"]] = bool(re.search(r"(?:[,;:\-–—…，、]|\.\.\.)\s*$", a))
                     f[_AT["last_paren"]] = a.count("(") > a.count(")")
-                    end = ending(ws[-1] if ws else "", counts)
+                    last = ws[-1] if ws else ""
+                    end = ending(last, counts if ends is None else {last: ends[no]})
                     if n_words > 5:
                         f[_AT[f"open_ending_{end}"]] = 1
                     f[_AT[f"open_length_{bisect_right(_LENGTH_STEPS, n_words)}"]] = 1
@@ -209,6 +227,46 @@ def ending_counts(answers: list[str]) -> dict[str, tuple[int, int]]:
     return {w: (k, last[w]) for w, k in n.items()} | {"": (n[""], -1)}
 
 
+class Corpus(NamedTuple):
+    """What is counted over all pairs: a table of word, n, last (see ``ending_counts``), finished answers, the language of most questions (-1: none), characters of all words."""
+
+    table: DataFrame
+    n_finished: int
+    home: int
+    chars: int
+
+    def known(self, wanted: set[str]) -> dict[str, tuple[int, int]]:
+        """Counts of the ``wanted`` words and of those that aren't strange: at most 1 / STRANGE times the mean words of a finished answer."""
+        asked = self.table.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "word string")
+        rows = self.table.join(F.broadcast(asked), "word", "left_semi").unionByName(self.table.filter(F.col("n") >= F.lit(STRANGE) * self.n_finished))
+        return {r["word"]: (r["n"], r["last"]) for r in rows.collect()} | {"": (self.n_finished, self.home)}
+
+
+def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) -> Corpus:
+    """Counts over every pair and whole texts, added up within each batch and each task before the shuffle. Each distinct question is scored once; those without a letter don't count."""
+    held = pairs.sparkSession.sparkContext.broadcast(net)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = ending_counts([plain(a) for a in pdf["a"]])
+            yield pd.DataFrame([(w, k, max(0, last)) for w, (k, last) in n.items()], columns=["word", "n", "last"])
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            q = [plain(t) for t in pdf["q"]]
+            own = np.array([weight(t) > 0 for t in q], dtype=bool)
+            n = np.bincount(held.value.score(q).argmax(axis=1), weights=pdf["n"].to_numpy() * own, minlength=len(held.value.classes))
+            yield pd.DataFrame({"lang": np.arange(len(n)), "n": n.astype(np.int64)})
+
+    told = pairs.select(F.col(answer).alias("a")).filter("a IS NOT NULL").mapInPandas(count, "word string, n bigint, last bigint")
+    table = cut(told.groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last")))
+    whole = table.agg(F.sum(F.when(F.col("word") == "", F.col("n"))).alias("n"), F.sum(F.length("word")).alias("chars")).first()
+    asked = pairs.select(F.col(question).alias("q")).filter("q IS NOT NULL").groupBy("q").agg(F.count("*").alias("n"))
+    langs = asked.repartition(parallelism(pairs.sparkSession), "q").mapInPandas(spoken, "lang bigint, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0").collect()
+    home = min(langs, key=lambda r: (-r["n"], r["lang"]))["lang"] if langs else -1
+    return Corpus(table.filter("word <> ''"), whole["n"] or 0, home, whole["chars"] or 0)
+
+
 # Parts of refusals that training pairs are given.
 _OPENERS = ("", "I'm sorry, but ", "Unfortunately ", "Apologies, ", "As an AI model ", "As an assistant ", "Sorry, ")
 _CORES = (
@@ -284,13 +342,19 @@ def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]],
     return out
 
 
-def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> tuple[CRF, dict[str, tuple[int, int]]]:
-    """The field and the counts of sentence ends, both from the bounded sample; the counts' entry '' also names the language of most questions."""
-    counts = ending_counts([a for _, a in pairs])
-    if pairs:
-        counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()))
+def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0, corpus: Corpus | None = None) -> tuple[CRF, dict[str, tuple[int, int]]]:
+    """The field, fitted on the bounded sample, and the counts of words that it needs; their entry '' also names the language of most questions.
+
+    The counts are those of ``corpus``; without it ``pairs`` are taken as all there is.
+    """
     made = training_pairs(pairs, foreign, net, seed)
     made = [m for m in made if len(clauses(m[1])) <= 12]  # longer ones would pad all others
+    if corpus:
+        counts = corpus.known({w for _, a, _ in made if (w := open_word(a))})
+    else:
+        counts = ending_counts([a for _, a in pairs])
+        if pairs:
+            counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()))
     crf = CRF(TAGS, len(_NAMES))
     if not made:
         return crf, counts
@@ -314,14 +378,27 @@ def defect_of(p: np.ndarray, size: np.ndarray) -> str | None:
     return DEFECT["unfinished"] if TAGS[tags[-1]] == "unfinished" else None
 
 
-def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, dict[str, tuple[int, int]]]) -> DataFrame:
+@F.pandas_udf(StringType())
+def _open_words(answers: pd.Series) -> pd.Series:
+    return pd.Series([open_word(plain(a)) for a in answers], dtype=object)
+
+
+def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, dict[str, tuple[int, int]]], corpus: Corpus | None = None) -> DataFrame:
     """Defective pairs: the columns ``keep`` (names other than defect) and defect (empty, truncated, refusal, copies_question, other_language).
 
     A null answer, or one without letter or digit apart from media tags, is empty. A null or empty question makes no
     answer a copy or foreign. Whole answers are read, whatever their length. Repeated rows give repeated results.
+    The word that an answer is left open at is looked up in ``corpus``, or in the tagger's counts where none is given.
     """
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    held = pairs.sparkSession.sparkContext.broadcast((net, *tagger))  # some hundred kB: bounded by the training sample
+    held = pairs.sparkSession.sparkContext.broadcast((net, *tagger))  # some hundred kB: bounded by the training sample and Corpus.known
+    told = pairs.select(*keep, F.col(question).alias("__q"), F.col(answer).alias("__a"))
+    if corpus:
+        # answers that aren't left open match no word: '#' is none, and the hash spreads them
+        told = told.withColumn("__word", F.coalesce(_open_words("__a"), F.concat(F.lit("#"), F.xxhash64("__q", "__a"))))
+        table = corpus.table.select(F.col("word").alias("__word"), F.col("n").alias("__n"), F.col("last").alias("__last"))
+        table = F.broadcast(table) if corpus.chars <= BROADCAST_CHARS else table.hint("shuffle_merge")
+        told = told.join(table, "__word", "left").drop("__word").fillna(0, ["__n", "__last"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, crf, counts = held.value
@@ -329,7 +406,8 @@ def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: st
             for start in range(0, len(pdf), 2000):
                 part = pdf.iloc[start : start + 2000]
                 qa = [(plain(q), plain(a)) for q, a in zip(part["__q"], part["__a"], strict=True)]
-                x, lengths, size = features(qa, model, counts)
+                ends = list(zip(part["__n"].tolist(), part["__last"].tolist(), strict=True)) if "__n" in part else None
+                x, lengths, size = features(qa, model, counts, ends)
                 p = crf.marginals(x, lengths[lengths > 0])
                 found: list[str | None] = []
                 at = 0
@@ -341,4 +419,4 @@ def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: st
                 yield out[out["defect"].notna()]
 
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "defect string"])
-    return pairs.select(*keep, F.col(question).alias("__q"), F.col(answer).alias("__a")).mapInPandas(run, schema)
+    return told.mapInPandas(run, schema)

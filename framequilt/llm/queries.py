@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from framequilt.functions.text import ANSWERING, ASKING, blank_to_null, clean_str, first_turn, strip_ws, video_key
 from framequilt.llm.bytecnn import ByteCNN
-from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, defective_pairs, plain, train_tagger
+from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, Corpus, corpus_counts, defective_pairs, plain, train_tagger
 from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, train, weight
 from framequilt.llm.mixing import mix
 from framequilt.llm.overlaps import canonical_records, cross_split_links, cross_split_pairs
@@ -243,8 +243,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(told("prediction", p.filter(states_none))).unionByName(told("gt_answer", p))
 
 
-def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple]:
-    """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of vqa_rows by the hash of the id."""
+def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple, Corpus]:
+    """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of vqa_rows by the hash of the id; and the counts over all pairs."""
     sample = labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
     net = train(sample)
     said = [(s, c) for t, c in zip(sample["text"], sample["code"], strict=True) for s in [x for x in sentences(t) if weight(x) >= 15][:3]]
@@ -261,12 +261,13 @@ def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple]:
         .limit(SAMPLE_PAIRS)
         .collect()
     )
-    return net, train_tagger([(plain(r["q"]), plain(r["a"])) for r in picked], foreign, net)
+    corpus = corpus_counts(_pairs(spark, sf_dir), "question", "answer", net)
+    return net, train_tagger([(plain(r["q"]), plain(r["a"])) for r in picked], foreign, net, corpus=corpus), corpus
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net, tagger = pair_models(spark, sf_dir)
-    return defective_pairs(_pairs(spark, sf_dir), ["origin", "record_id", "field"], "question", "answer", net, tagger)
+    net, tagger, corpus = pair_models(spark, sf_dir)
+    return defective_pairs(_pairs(spark, sf_dir), ["origin", "record_id", "field"], "question", "answer", net, tagger, corpus)
 
 
 def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,25 @@ def test_defects(spark, net):
     assert len(wrong) <= 1, wrong
     assert got.get(100) is None and got[101] == "empty"
     assert D.defective_pairs(df.limit(0), ["id"], "question", "answer", net, tagger).collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_corpus_counts_are_of_all_pairs(spark, monkeypatch, broadcast):
+    """What only stands outside the training sample counts: words, sentence ends and the language of questions, wherever the words' table goes."""
+    if not broadcast:
+        monkeypatch.setattr(D, "BROADCAST_CHARS", 0)
+    net = ByteCNN(["a", "b"])
+    net.fit(to_windows(["aaa?", "bbb?"] * 32)[0], np.array([0, 1] * 32), epochs=30)
+    rows = [(i, "aaa?", "We lift the liver. Then we lift the graft.") for i in range(40)] + [(40 + i, "bbb?", "Now the team may lift it and rest on the liver") for i in range(60)] + [(200, None, None), (201, "?", "<video>")]
+    df = spark.createDataFrame(rows, "id int, q string, a string").repartition(5)
+    corpus = D.corpus_counts(df, "q", "a", net)
+    got = {r["word"]: (r["n"], r["last"]) for r in corpus.table.collect()}
+    assert got == {"we": (80, 0), "lift": (80, 0), "the": (80, 0), "liver": (40, 40), "then": (40, 0), "graft": (40, 40)}
+    assert (corpus.n_finished, corpus.home) == (40, 1)
+    _, counts = D.train_tagger([("aaa?", "Yes.")], [], net, corpus=corpus)
+    assert counts["graft"] == (40, 40) and counts[""] == (40, 1)
+    crf = CRF(D.TAGS, len(D._NAMES))
+    crf.w[D._AT["open_ending_3"], D.TAGS.index("unfinished")] = 5.0
+    found = D.defective_pairs(df, ["id"], "q", "a", net, (crf, {"": counts[""]}), corpus).collect()
+    assert sorted(r["id"] for r in found if r["defect"] == "truncated") == list(range(40, 100))
+    assert sorted(r["id"] for r in found if r["defect"] == "empty") == [200, 201]
