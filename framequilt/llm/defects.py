@@ -348,7 +348,6 @@ def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], n
     The counts are those of ``corpus``; without it ``pairs`` are taken as all there is.
     """
     made = training_pairs(pairs, foreign, net, seed)
-    made = [m for m in made if len(clauses(m[1])) <= 12]  # longer ones would pad all others
     if corpus:
         counts = corpus.known({w for _, a, _ in made if (w := open_word(a))})
     else:

@@ -152,3 +152,12 @@ def test_corpus_counts_are_of_all_pairs(spark, monkeypatch, broadcast):
     found = D.defective_pairs(df, ["id"], "q", "a", net, (crf, {"": counts[""]}), corpus).collect()
     assert sorted(r["id"] for r in found if r["defect"] == "truncated") == list(range(40, 100))
     assert sorted(r["id"] for r in found if r["defect"] == "empty") == [200, 201]
+
+
+def test_long_answers_are_trained_on(monkeypatch):
+    seen = []
+    long = ("What now?", "We lift it. " * 20, "answer")
+    monkeypatch.setattr(D, "training_pairs", lambda *_: [long])
+    monkeypatch.setattr(CRF, "fit", lambda _, x, y, lengths: seen.extend(lengths.tolist()))
+    D.train_tagger([long[:2]], [], ByteCNN(["a", "b"]))
+    assert seen == [20]
