@@ -34,7 +34,7 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: list[di
     """Documents of the mixture with their number of copies, and the report with actual tokens and shares.
 
     targets: dictionaries with source, weight, max_repeats. The mixture is as large as all documents together. Seats are
-    blocks of ``block_tokens``: first apportioned to the sources, then, for each source, to hashed shards by their tokens.
+    blocks of ``block_tokens``, the last one of a source that gives out may be partial: first apportioned to the sources, then, for each source, to hashed shards by their tokens.
     Within (source, shard) the documents stand in seeded order and form blocks; whole passes give every document a copy,
     the rest takes the first blocks of that order. No document gets more than max_repeats copies. What a
     source can't supply goes to the others by the same quotients. Sources without target, null included, are left out;
@@ -49,8 +49,16 @@ def mix(docs: DataFrame, doc_id: str, source: str, tokens: str, targets: list[di
     sums: dict[str, dict[int, int]] = {t["source"]: {} for t in targets}
     for r in mine.groupBy("src", "shard").agg(F.sum("n").alias("n")).collect():
         sums[r["src"]][r["shard"]] = int(r["n"])
-    caps = [r["available"] * r["max_repeats"] // block_tokens for r in report]
-    seats = sainte_lague([r["weight"] for r in report], round(total / block_tokens), caps)
+    most = [r["available"] * r["max_repeats"] for r in report]
+    caps = [-(-m // block_tokens) for m in most]
+    blocks = round(total / block_tokens)
+    seats = sainte_lague([r["weight"] for r in report], blocks, caps)
+    # what partial blocks lack is given out again; seats only grow, so this ends after at most as many rounds as there are sources
+    while (want := blocks + round(sum(max(0, s * block_tokens - m) for s, m in zip(seats, most, strict=True)) / block_tokens)) > sum(seats):
+        more = sainte_lague([r["weight"] for r in report], want, caps)
+        if more == seats:
+            break
+        seats = more
     plan = []
     for r, s in zip(report, seats, strict=True):
         r["blocks"] = s

@@ -75,3 +75,14 @@ def test_mix(spark):
     assert {(r["doc"], r["copies"]) for r in again.collect()} == {(r["doc"], r["copies"]) for r in got}
     none, empty = mix(df.limit(0), "doc", "src", "n", TARGETS)
     assert none.count() == 0 and [r["short"] for r in empty] == [False] * 4
+
+
+def test_mix_uses_partial_blocks(spark):
+    """A source smaller than a block takes part, and what its block lacks goes to the others."""
+    rows = [(i, "big", 100) for i in range(100)] + [(500, "tiny", 30), (501, "tiny", 20)]
+    df = spark.createDataFrame(rows, "doc bigint, src string, n bigint")
+    targets = [{"source": "big", "weight": 0.5, "max_repeats": 3}, {"source": "tiny", "weight": 0.5, "max_repeats": 2}]
+    chosen, report = mix(df, "doc", "src", "n", targets, block_tokens=500)
+    by = {r["source"]: r for r in report}
+    assert by["tiny"]["tokens"] == 100 and abs(by["big"]["tokens"] + 100 - 10_050) <= 250
+    assert {r["doc"]: r["copies"] for r in chosen.collect() if r["src"] == "tiny"} == {500: 2, 501: 2}
