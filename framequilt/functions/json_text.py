@@ -62,6 +62,17 @@ def strict_object(lines: pd.Series) -> pd.Series:
     return pd.Series([json_object(x) for x in lines], dtype="object")
 
 
+def json_value(text: str | None) -> str | None:
+    ok, value = _load(text.strip()) if isinstance(text, str) else (False, None)
+    return json.dumps(value, ensure_ascii=False) if ok else None
+
+
+@F.pandas_udf(T.StringType())
+def any_value(lines: pd.Series) -> pd.Series:
+    """The line's JSON value of whatever kind, written plainly; null for blank and malformed lines."""
+    return pd.Series([json_value(x) for x in lines], dtype="object")
+
+
 def judge_score(value) -> int | None:
     """0 or 1 after truncation to an integer; everything else is no score."""
     try:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framequilt.functions.text import ANSWERING, clean_text, file_stem, first_turn
 from framequilt.functions.values import duration
+from framequilt.operators.blocks import with_neighbours
 
 
 def load_clips(rows: DataFrame, min_caption: int = 12) -> DataFrame:
@@ -26,17 +27,16 @@ def load_clips(rows: DataFrame, min_caption: int = 12) -> DataFrame:
 def neighbour_context(df: DataFrame, group: str, order: list[str], text: str, radius: int = 1) -> DataFrame:
     """``context``: texts of up to ``radius`` rows before and after in the group, in order, marked PREV and NEXT, blank ones skipped.
 
-    ``order`` should end with a unique column. The window needs one shuffle by ``group``, shared by both frames.
+    ``order`` must end with a unique column. Groups may be of any size: neighbours across blocks are looked up.
     """
-    w = Window.partitionBy(group).orderBy(*order)
     if radius <= 0:
         return df.withColumn("context", F.lit(""))
+    rows = with_neighbours(df.withColumn("__said", clean_text(F.col(text))), [group], order, "__said", radius, "__before", "__after")
 
-    def around(mark: str, low: int, high: int) -> Column:
-        said = F.filter(F.collect_list(F.coalesce(clean_text(F.col(text)), F.lit(""))).over(w.rowsBetween(low, high)), lambda t: t != "")
-        return F.transform(said, lambda t: F.concat(F.lit(f"{mark}: "), t))
+    def around(mark: str, said: str) -> Column:
+        return F.transform(F.filter(said, lambda t: t != ""), lambda t: F.concat(F.lit(f"{mark}: "), t))
 
-    return df.withColumn("context", F.array_join(F.concat(around("PREV", -radius, -1), around("NEXT", 1, radius)), " | "))
+    return rows.withColumn("context", F.array_join(F.concat(around("PREV", "__before"), around("NEXT", "__after")), " | ")).drop("__said", "__before", "__after")
 
 
 def first_per_segment(df: DataFrame, segment: str, order: list[str]) -> DataFrame:

@@ -64,9 +64,27 @@ def metric_key(df: DataFrame) -> Column:
     return F.coalesce(*_truthy_id(df), F.when((segment != "") | (q != ""), F.concat(segment, F.lit("|||"), q)), F.concat(video, F.lit("|||"), q))
 
 
+def _first_said(df: DataFrame, *roles: str) -> list[Column]:
+    """First turn of these speakers that isn't blank."""
+    if "conversations" not in df.columns:
+        return []
+    said = F.filter(F.transform(F.filter("conversations", lambda t: t["from"].isin(*roles)), lambda t: clean_str(t["value"])), lambda v: v != "")
+    return [F.get(said, F.lit(0))]
+
+
+def inference_question(df: DataFrame) -> Column:
+    """Question of the inference programs: the conversation comes first, then question, prompt. A field that is null counts as absent."""
+    return strip_ws(strip_media(F.coalesce(*_first_said(df, "human", "user"), clean_str(F.coalesce(*_have(df, ("question", "prompt")), F.lit(""))))))
+
+
+def inference_answer(df: DataFrame) -> Column:
+    """Reference answer of the inference programs: the conversation comes first, then gt_answer, reference, answer."""
+    return F.coalesce(*_first_said(df, "gpt", "assistant"), clean_str(F.coalesce(*_have(df, ("gt_answer", "reference", "answer")), F.lit(""))))
+
+
 def inference_key(df: DataFrame) -> Column:
-    """Row key of the inference programs: as above, but a null segment reads as '' and the last resort is the video alone."""
-    q = question(df)
+    """Row key of the inference programs: as above, but by their own question; a null segment reads as '' and the last resort is the video alone."""
+    q = inference_question(df)
     segment = clean_str(F.col("segment_id")) if "segment_id" in df.columns else F.lit("")
     video = clean_str(F.coalesce(*_have(df, ("video", "video_path")), F.lit("")))
     return F.coalesce(*_truthy_id(df), F.when((segment != "") | (q != ""), F.concat(segment, F.lit("|||"), q)), video)
@@ -90,8 +108,7 @@ def score_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def _aggregates() -> list[Column]:
-    fine = F.col("m_error").isNull()
+def _aggregates(fine: Column, no_prediction: Column, no_reference: Column) -> list[Column]:
     n = F.count_if("m_ok")
 
     def mean(c: str) -> Column:
@@ -100,14 +117,14 @@ def _aggregates() -> list[Column]:
 
     return [
         F.count("*").alias("n_total"), n.alias("n_success"), F.count_if(~fine).alias("n_error"),
-        F.count_if(fine & (F.col("m_pred") == "")).alias("n_missing_prediction"), F.count_if(fine & (F.col("m_ref") == "")).alias("n_missing_reference"),
+        F.count_if(fine & no_prediction).alias("n_missing_prediction"), F.count_if(fine & no_reference).alias("n_missing_reference"),
         mean("m_em").alias("exact_match"), mean("m_f1").alias("token_f1"), mean("m_rouge").alias("rouge_l"),
         F.count("m_judge").alias("llm_judge_n"), F.round(F.avg("m_judge"), 6).alias("llm_judge_accuracy"), F.count_if("m_unjudged").alias("llm_judge_missing"),
     ]
 
 
 def overall_metrics(scored: DataFrame) -> DataFrame:
-    return scored.agg(*_aggregates())
+    return scored.agg(*_aggregates(F.col("m_error").isNull(), F.col("m_pred") == "", F.col("m_ref") == ""))
 
 
 def grouped_metrics(scored: DataFrame, fields: Sequence[str] = GROUPS) -> DataFrame:
@@ -119,15 +136,18 @@ def grouped_metrics(scored: DataFrame, fields: Sequence[str] = GROUPS) -> DataFr
         c = F.col(f)
         return F.initcap(c.cast("string")) if kinds[f] == "boolean" else c.cast("string")
 
+    # texts stay behind: only what they say about the row is spread over the fields
+    scored = scored.withColumns({"m_no_pred": F.col("m_pred") == "", "m_no_ref": F.col("m_ref") == "", "m_fine": F.col("m_error").isNull()})
     entries = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value")) for f in have]).cast("array<struct<field string, value string>>")
-    long = scored.select("m_error", "m_pred", "m_ref", "m_ok", "m_em", "m_f1", "m_rouge", "m_judge", "m_unjudged", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("g"))
-    return long.groupBy(F.col("g.field").alias("field"), F.col("g.value").alias("value")).agg(*_aggregates())
+    long = scored.select("m_fine", "m_no_pred", "m_no_ref", "m_ok", "m_em", "m_f1", "m_rouge", "m_judge", "m_unjudged", F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("g"))
+    return long.groupBy(F.col("g.field").alias("field"), F.col("g.value").alias("value")).agg(*_aggregates(F.col("m_fine"), F.col("m_no_pred"), F.col("m_no_ref")))
 
 
 def judge_without_call(df: DataFrame) -> DataFrame:
     """The verdicts that need no judge: columns llm_judge_score, llm_judge_reason, needs_call. Split on needs_call before calling: a branch around a UDF would still call it for every row."""
     error = stated_error(F.col("error")) if "error" in df.columns else F.lit(None).cast("string")
     empty, missing = prediction(df) == "", reference(df) == ""
+    # Reasons that need no judge.
     reason = F.when(error.isNotNull(), F.concat(F.lit("Skipped due to row error: "), error)).when(empty, "Empty prediction.").when(missing, "Missing reference answer.")
     return df.withColumns({"llm_judge_score": F.when(error.isNull() & empty, F.lit(0)), "llm_judge_reason": reason, "needs_call": error.isNull() & ~empty & ~missing})
 

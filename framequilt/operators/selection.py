@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framequilt.functions.text import blank_to_null, clean_str, strip_ws
 from framequilt.functions.values import seeded
+from framequilt.operators.blocks import smallest, with_position
 
 # Spellings that say yes, and spellings that state no error.
 YES = ("yes", "y", "true", "1")
@@ -112,11 +113,11 @@ def sample_per_group(df: DataFrame, group: str, row_key: str, k: int, seed: int)
 
 
 def sample_fraction(df: DataFrame, row_key: str, percent: int, seed: int) -> DataFrame:
-    """Exactly floor(n * percent / 100) rows by seeded hash; 100 or more means all. ``row_key`` is unique."""
+    """Exactly floor(n * percent / 100) rows by seeded hash; 100 or more means all. ``row_key`` is unique. The limit is found by counting hashes, so no task sorts the rows that are taken."""
     if percent >= 100:
         return df
     n = df.count() * max(0, percent) // 100
-    return df.withColumn("__h", seeded(seed, F.col(row_key))).orderBy("__h", row_key).limit(n).drop("__h")
+    return smallest(df.withColumn("__h", seeded(seed, F.col(row_key))), "__h", row_key, n).drop("__h")
 
 
 def cap_groups(df: DataFrame, group: str, most: int, seed: int) -> DataFrame:
@@ -128,16 +129,37 @@ def cap_groups(df: DataFrame, group: str, most: int, seed: int) -> DataFrame:
 
 
 def rank_shard(df: DataFrame, order: str, rank: int, world: int) -> DataFrame:
-    """Every ``world``-th row from ``rank`` on."""
-    return df.filter(F.pmod(F.col(order), F.lit(world)) == rank)
+    """Every ``world``-th of these rows from ``rank`` on, counted in their order, whatever numbers ``order`` holds."""
+    return with_position(df, [order], "__place").filter(F.pmod(F.col("__place"), F.lit(world)) == rank).drop("__place")
+
+
+#: Rows up to which the first ones are found by a top-k; more are found by their place.
+TOP_ROWS = 100_000
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
-    """The first ``n`` input rows by their line number (from 0)."""
-    return df.filter(F.col(order) < n)
+    """The first ``n`` of these rows in their order, whatever numbers ``order`` holds; all for n = 0 or less. Nulls come first, ties are broken by chance: ``order`` should be unique."""
+    if n <= 0:
+        return df
+    if n <= TOP_ROWS:
+        return df.orderBy(order).limit(n)
+    return with_position(df, [order], "__place").filter(F.col("__place") < n).drop("__place")
 
 
-def judged_before(df: DataFrame, judged: DataFrame, key: str) -> DataFrame:
-    """Rows beside an earlier verdict (columns old_score, old_row): reused where the score is 0 or 1, whatever has changed since."""
-    old = judged.filter(F.col("llm_judge_score").isin(0, 1)).select(F.col(key), F.col("llm_judge_score").alias("old_score"), F.struct(*judged.columns).alias("old_row"))
+def judged_before(df: DataFrame, judged: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows beside an earlier verdict (columns old_score, old_row): the last row of the key decides, and counts only where its score is 0 or 1, whatever has changed in the row since. Rows without one have nulls."""
+    row = F.struct(*judged.columns)
+    last = judged.select(F.col(key), F.col(order).alias("__order"), row.alias("old_row")).groupBy(key).agg(F.max_by("old_row", "__order").alias("old_row"))
+    old = last.filter(F.col("old_row.llm_judge_score").isin(0, 1)).select(key, F.col("old_row.llm_judge_score").alias("old_score"), "old_row")
     return df.join(old, key, "left")
+
+
+def count_by(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows of each value of an expression: ``name``, n."""
+    return df.groupBy(value.alias(name)).agg(F.count("*").alias("n"))
+
+
+def selected_total(df: DataFrame, group: str, most: int) -> DataFrame:
+    """How many rows a choice of ``most`` per group will take (0 means all): selected."""
+    n = F.least(F.col("n"), F.lit(most)) if most > 0 else F.col("n")
+    return df.groupBy(group).agg(F.count("*").alias("n")).agg(F.sum(n).alias("selected"))

@@ -7,16 +7,25 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequilt.functions.text import strip_ws
+from framequilt.operators.blocks import sums_before
 from framequilt.operators.selection import sample_fraction
 
-# Kinds of training data and their views.
-KINDS = ("captions", "steps", "ocr_phases", "summaries", "metadata", "qa", "ocr_phase_qa")
-VIEWS = ("", "open", "mis")
+# Names of the data sets, each with the beginning and the end of its file's name; a view stands between the two.
+DATASETS = {
+    "surg_segment_captions": ("captions", "_train"),
+    "surg_step_descriptions": ("steps", "_train"),
+    "surg_ocr_phases": ("ocr_phases", "_train"),
+    "surg_video_summaries": ("summaries", ""),
+    "surg_title_descriptions": ("metadata", ""),
+    "surgatlas_qa": ("train_vqa", ""),
+    "ocr_phases_vqa": ("ocr_phases_vqa", "_train"),
+}
+VIEWS = ("", "_open", "_mis")
 # Tokens that open and close an answer in the chat template, and the label that is ignored.
 ANSWER_TOKEN = 77091
 END_TOKEN = 151645
@@ -31,9 +40,8 @@ class Dataset:
 
 
 def registry(root: str) -> dict[str, Dataset]:
-    """Data sets by name: every kind in every view."""
-    names = ["_".join(x for x in (kind, view) if x) for view in VIEWS for kind in KINDS]
-    return {n: Dataset(n, f"{root}/{n}.jsonl") for n in names}
+    """Data sets by name: every one in every view."""
+    return {f"{name}{view}": Dataset(f"{name}{view}", f"{root}/{begin}{view}{end}.jsonl") for view in VIEWS for name, (begin, end) in DATASETS.items()}
 
 
 def parse_mixture(spec: str, known: dict[str, Dataset]) -> list[Dataset]:
@@ -82,6 +90,56 @@ def content_parts(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip_ws(s)), lambda s: s != "")
 
 
+def turn_text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+_PARTS = "array<struct<type:string,text:string,path:string>>"
+
+
+def messages(conversations: Column, images: Column, videos: Column, base: str = "") -> Column:
+    """The turns as messages: array of struct role, content; content is an array of struct type (image, video, text), text, path.
+
+    Placeholders of human turns take the files in their order, over all turns; each file is put below ``base`` unless its
+    path is absolute. Other turns are one text. Where placeholders and files don't match, it is an error when it is read:
+    look at ``placeholder_defect`` first to set such items aside.
+    """
+
+    def part(kind: str, text: Column | None = None, path: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("type"), (none if text is None else text).alias("text"), (none if path is None else path).alias("path"))
+
+    def placed(path: Column) -> Column:
+        return F.when(path.startswith("/") | F.lit(base == ""), path).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), path))
+
+    def turn(done: Column, t: Column) -> Column:
+        text = turn_text(t["value"])
+
+        def step(acc: Column, s: Column) -> Column:
+            image, video = s == "<image>", s == "<video>"
+            at_image, at_video = acc["n_image"] + image.cast("int"), acc["n_video"] + video.cast("int")
+            item = F.when(image, part("image", path=placed(F.get(images, at_image - 1)))).when(video, part("video", path=placed(F.get(videos, at_video - 1)))).otherwise(part("text", text=s))
+            return F.struct(F.concat(acc["content"], F.array(item)).alias("content"), at_image.alias("n_image"), at_video.alias("n_video"))
+
+        empty = F.struct(F.array().cast(_PARTS).alias("content"), done["n_image"].alias("n_image"), done["n_video"].alias("n_video"))
+        read = F.aggregate(content_parts(text), empty, step)
+        human = t["from"] == "human"
+        content = F.when(human, read["content"]).otherwise(F.array(part("text", text=text)))
+        message = F.struct(F.when(human, "user").otherwise("assistant").alias("role"), content.alias("content"))
+        n_image, n_video = (F.when(human, read[n]).otherwise(done[n]).alias(n) for n in ("n_image", "n_video"))
+        return F.struct(F.concat(done["messages"], F.array(message)).alias("messages"), n_image, n_video)
+
+    zero = F.struct(F.array().cast(f"array<struct<role:string,content:{_PARTS}>>").alias("messages"), F.lit(0).alias("n_image"), F.lit(0).alias("n_video"))
+    read = F.aggregate(conversations, zero, turn)
+    defect = placeholder_defect(conversations, images, videos)
+    return F.when(defect.isNull(), read["messages"]).otherwise(F.raise_error(defect).cast(f"array<struct<role:string,content:{_PARTS}>>"))
+
+
+def known_lengths(items: DataFrame, name: str = "num_tokens") -> Column:
+    """Token lengths that the items bring with them; 1 for each where they have no such field."""
+    return F.col(name).cast("bigint") if name in items.columns else F.lit(1).cast("bigint")
+
+
 def word_length(conversations: Column) -> Column:
     """White-space words of all turns."""
     n = lambda v: F.size(F.filter(F.split(F.coalesce(v, F.lit("")), r"\s+"), lambda w: w != ""))
@@ -104,9 +162,8 @@ def pad_right(ids: Column, width: Column, value: int, most: int) -> Column:
 
 
 def sequence_offsets(df: DataFrame, group: str, order: str, length: str) -> DataFrame:
-    """``offset``: where each sequence starts when those of a group stand end to end."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)))
+    """``offset``: where each sequence starts when those of a group stand end to end. ``order`` is unique within a group; groups may be of any size."""
+    return sums_before(df, [group], [order], {"offset": length})
 
 
 def mask_labels(ids: list[int]) -> list[int]:

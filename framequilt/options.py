@@ -22,8 +22,11 @@ class GenerateOptions:
     procedures: tuple[str, ...] = ()
     specialties: tuple[str, ...] = ()
     surgery_types: tuple[str, ...] = ()
+    type_source: str = "json"
 
     def __post_init__(self) -> None:
+        if self.type_source not in ("json", "excel"):
+            raise ValueError("type_source is json or excel")
         if self.question_style not in ("open", "mcq", "mixed"):
             raise ValueError("question_style is open, mcq or mixed")
         if not 1 <= self.min_score <= 5:
@@ -34,15 +37,42 @@ class GenerateOptions:
 class MetricsOptions:
     group_by: tuple[str, ...] = GROUPS
     llm_judge: bool = False
+    judge_model: str = ""
+    judge_sleep: float = 0.0
+    judge_max_output_tokens: int = 256
 
 
 @dataclass(frozen=True)
 class InferenceOptions:
+    model: str = ""
     num_frames: int = 4
     max_output_tokens: int = 128
+    jpg_quality: int = 3
+    temperature: float = 0.0
+    thinking_budget: int = 0
+    sleep: float = 0.0
     limit: int = 0
     overwrite: bool = False
+    rank: int = 0
     world: int = 1
+    merge_ranks_at_end: bool = False
+
+    def __post_init__(self) -> None:
+        if self.num_frames < 1 or self.max_output_tokens < 1 or self.limit < 0 or self.sleep < 0:
+            raise ValueError("num_frames and max_output_tokens from 1, limit and sleep from 0")
+        if not 0 <= self.rank < self.world:
+            raise ValueError("rank lies within the world")
+
+
+@dataclass(frozen=True)
+class TranscribeOptions:
+    backend: str = "api"
+    max_file_mb: float = 25.0
+    output_dir: str = "output"
+
+    def __post_init__(self) -> None:
+        if self.backend not in ("api", "local"):
+            raise ValueError("backend is api or local")
 
 
 @dataclass(frozen=True)

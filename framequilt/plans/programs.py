@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from framequilt.functions.json_text import judge_reply, lenient_json
 from framequilt.functions.text import clean_text
-from framequilt.functions.values import borders
+from framequilt.functions.values import audio_chunk_plan, borders
 from framequilt.models import Model, ask
 from framequilt.operators.context import first_per_segment, load_clips, neighbour_context
-from framequilt.operators.metrics import grouped_metrics, inference_key, judge_without_call, metric_key, overall_metrics, prediction, question, reference, score_rows
+from framequilt.operators.metrics import grouped_metrics, inference_answer, inference_key, inference_question, judge_without_call, metric_key, overall_metrics, prediction, question, reference, score_rows
 from framequilt.operators.qa import CANDIDATES, PLAN, TAXONOMY, VERDICT, accepted_rows, finalize, normalize_plan, valid_candidates
-from framequilt.operators.selection import cap_groups, first_rows, latest_per_key, metadata_filter, procedure_label, sample_per_group, stated_error
-from framequilt.options import CropOptions, GenerateOptions, InferenceOptions, MetricsOptions
+from framequilt.operators.selection import cap_groups, count_by, first_rows, judged_before as judged_before_rows, latest_per_key, metadata_filter, procedure_label, rank_shard, sample_per_group
+from framequilt.options import CropOptions, GenerateOptions, InferenceOptions, MetricsOptions, TranscribeOptions
 from framequilt.session import cut
 
 
@@ -52,12 +52,34 @@ def judge_prompt(df: DataFrame) -> Column:
     return _lines("Does the prediction say the same as the reference? Reply with a JSON object: score (1 or 0), reason.", F.concat(F.lit("Question: "), question(df)), F.concat(F.lit("Reference: "), reference(df)), F.concat(F.lit("Prediction: "), prediction(df)))
 
 
-def choose_clips(clips: DataFrame, procedures: DataFrame, done_segments: DataFrame | None = None, options: GenerateOptions = GenerateOptions()) -> DataFrame:
-    """Clips to work on, with context and label. Context sees all clips of the video; sampling comes before skipping what is done."""
+def answer_prompt(question: Column, choices: Column | None) -> Column:
+    """Request of the vision models: the question, and the choices where there are any."""
+    lines = F.transform(F.coalesce(choices, F.array().cast("array<string>")), lambda c: F.concat(F.lit("- "), c)) if choices is not None else F.array().cast("array<string>")
+    return F.when(
+        F.size(lines) > 0, _lines("Look at the frames, which are in order of time, and answer from them alone.", F.concat(F.lit("Question: "), question), "Choices:", F.array_join(lines, "\n"), "Name the best choice, with a short reason.")
+    ).otherwise(_lines("Look at the frames, which are in order of time, and answer from them alone.", F.concat(F.lit("Question: "), question), "Answer shortly."))
+
+
+def vision_request(rows: DataFrame, options: InferenceOptions) -> Column:
+    """One JSON object per row: prompt, video, num_frames, max_output_tokens. The adapter takes the frames where it runs, so no picture goes through the plan."""
+    choices = F.col("choices") if "choices" in rows.columns else None
+    video = F.coalesce(*[F.col(c).cast("string") for c in ("video", "video_path") if c in rows.columns], F.lit(""))
+    return F.to_json(F.struct(answer_prompt(inference_question(rows), choices).alias("prompt"), video.alias("video"), F.lit(options.num_frames).alias("num_frames"), F.lit(options.max_output_tokens).alias("max_output_tokens")))
+
+
+def choose_clips(clips: DataFrame, procedures: DataFrame, done_segments: DataFrame | None = None, options: GenerateOptions = GenerateOptions(), types: DataFrame | None = None) -> DataFrame:
+    """Clips to work on, with context and label. Context sees all clips of the video; sampling comes before skipping what is done.
+
+    With ``type_source`` excel, surgery types are filtered by ``types`` (id, type); a video that it lacks has none.
+    """
     rows = load_clips(clips, options.min_caption_len)
     rows = neighbour_context(rows, "youtube_id", ["start_sec", "end_sec", "segment_id", "line_no"], "caption", options.segment_radius)
     label = procedure_label(F.col("procedure"), F.col("procedure_name"), F.col("title"), F.col("specialty"))
     rows = rows.join(procedures, "youtube_id", "left").withColumn("surgery_type", label)
+    if options.type_source == "excel":
+        if types is None:
+            raise ValueError("type_source excel needs the types of the workbooks")
+        rows = rows.drop("surgery").join(types.select(F.col("id").alias("youtube_id"), F.col("type").alias("surgery")), "youtube_id", "left")
     rows = metadata_filter(rows, options.procedures, options.specialties, options.surgery_types).drop("procedure", "procedure_name", "title", "specialty", "surgery")
     rows = cap_groups(rows, "youtube_id", options.max_videos, options.seed)
     rows = sample_per_group(rows, "youtube_id", "line_no", options.segments_per_video, options.seed)
@@ -106,32 +128,81 @@ def evaluate(rows: DataFrame, options: MetricsOptions = MetricsOptions(), order:
     return overall_metrics(scored), grouped_metrics(scored, options.group_by)
 
 
-def judge(rows: DataFrame, make_judge: Callable[[], Model], judged_before: DataFrame | None = None) -> DataFrame:
-    """Rows with llm_judge_score and llm_judge_reason: earlier verdicts of 0 or 1 are kept, rules decide what they can, the judge is asked for the rest only."""
+def judge(rows: DataFrame, make_judge: Callable[[], Model], judged_before: DataFrame | None = None, options: MetricsOptions = MetricsOptions(), order: str = "line_no") -> DataFrame:
+    """Rows with row_key, llm_judge_score, llm_judge_reason, llm_judge_model and llm_judge_raw: earlier verdicts of 0 or 1 are kept, rules decide what they can, the judge is asked for the rest only.
+
+    Of several earlier rows of a key the last one in ``order`` decides. What is kept is the earlier row with all that it
+    holds, an older prediction included; fields that it lacks come from the row of now.
+    """
     keyed = rows.withColumn("row_key", metric_key(rows))
-    columns = [*rows.columns, "row_key", "llm_judge_score", "llm_judge_reason"]
+    verdict = ["llm_judge_score", "llm_judge_reason", "llm_judge_model", "llm_judge_raw"]
+    fields = [c for c in rows.columns if c not in verdict]
+    columns = [*fields, "row_key", *verdict]
+    reused = None
     if judged_before is not None:
-        old = judged_before.filter("llm_judge_score IN (0, 1)").dropDuplicates(["row_key"]).select("row_key", "llm_judge_score", "llm_judge_reason")
-        reused = keyed.join(old, "row_key").select(*columns)
-        keyed = keyed.join(old, "row_key", "left_anti")
-    ruled = judge_without_call(keyed)
-    asked = ask(ruled.filter("needs_call").drop("llm_judge_score", "llm_judge_reason", "needs_call").withColumn("request", judge_prompt(rows)), "request", "reply", make_judge)
+        old = judged_before if order in judged_before.columns else judged_before.withColumn(order, F.lit(0))
+        both = cut(judged_before_rows(keyed.drop(*verdict), old, "row_key", order))
+        kept = [F.col(f"old_row.{c}").alias(c) if c in judged_before.columns and c != "row_key" else F.col(c) for c in fields]
+        said = [F.col(f"old_row.{c}").alias(c) if c in judged_before.columns else F.lit(None).cast("string").alias(c) for c in verdict]
+        reused = both.filter("old_row IS NOT NULL").select(*kept, "row_key", *said)
+        keyed = both.filter("old_row IS NULL").drop("old_score", "old_row")
+    ruled = judge_without_call(keyed.drop(*verdict)).withColumns({"llm_judge_model": F.lit(options.judge_model), "llm_judge_raw": F.lit(None).cast("string")})
+    asked = ask(ruled.filter("needs_call").drop("llm_judge_score", "llm_judge_reason", "llm_judge_raw", "needs_call").withColumn("request", judge_prompt(rows)), "request", "reply", make_judge)
     told = asked.withColumn("j", judge_reply("reply"))
     reason = F.when(F.col("reply_error").isNotNull(), F.concat(F.lit("Judge error: "), F.col("reply_error"))).otherwise(F.col("j.reason"))
-    out = ruled.filter("NOT needs_call").select(*columns).unionByName(told.withColumns({"llm_judge_score": F.when(F.col("reply_error").isNull(), F.col("j.score")), "llm_judge_reason": reason}).select(*columns))
-    return out.unionByName(reused) if judged_before is not None else out
+    out = ruled.filter("NOT needs_call").select(*columns).unionByName(told.withColumns({"llm_judge_score": F.when(F.col("reply_error").isNull(), F.col("j.score")), "llm_judge_reason": reason, "llm_judge_raw": F.col("reply")}).select(*columns))
+    return out if reused is None else out.unionByName(reused)
+
+
+def evaluate_judged(rows: DataFrame, make_judge: Callable[[], Model], judged_before: DataFrame | None = None, options: MetricsOptions = MetricsOptions(), order: str = "line_no") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The latest attempt of every row, judged; overall and grouped metrics of these rows. Returns (judged, overall, grouped)."""
+    judged = cut(judge(latest_per_key(rows, metric_key(rows), order).drop("first_seen"), make_judge, judged_before, options, order))
+    scored = cut(score_rows(judged))
+    return judged, overall_metrics(scored), grouped_metrics(scored, options.group_by)
 
 
 def predict(rows: DataFrame, make_model: Callable[[], Model], done: DataFrame | None = None, options: InferenceOptions = InferenceOptions(), order: str = "line_no") -> DataFrame:
-    """Predictions for rows without a successful one; failures keep their error and are tried again next time. Duplicate input rows are each asked."""
+    """Predictions for rows without a successful one, with gt_answer and error; failures keep their error and are tried again next time. Duplicate input rows are each asked.
+
+    The limit counts input rows in their order; a rank takes every ``world``-th of these. Successful is a row without any
+    error (a text of whatever kind is one here) and with a prediction.
+    """
     if options.limit > 0:
         rows = first_rows(rows, order, options.limit)
+    if options.world > 1:
+        rows = rank_shard(rows, order, options.rank, options.world)
     keyed = rows.withColumn("row_key", inference_key(rows))
     if done is not None and not options.overwrite:
-        good = done.filter(stated_error(F.col("error")).isNull() & (prediction(done) != ""))
+        good = done.filter(F.col("error").isNull() & (prediction(done) != "")) if "error" in done.columns else done.filter(prediction(done) != "")
         keyed = keyed.join(good.select(inference_key(good).alias("row_key")).distinct(), "row_key", "left_anti")
-    asked = ask(keyed.withColumn("request", F.concat_ws("\n", F.col("video"), question(rows))), "request", "prediction", make_model)
-    return asked.withColumn("gt_answer", reference(rows)).withColumnRenamed("prediction_error", "error").drop("request")
+    fresh = keyed.drop("prediction", "error")
+    asked = ask(fresh.withColumn("request", vision_request(rows, options)), "request", "prediction", make_model)
+    return asked.withColumn("gt_answer", inference_answer(rows)).withColumnRenamed("prediction_error", "error").drop("request")
+
+
+TRANSCRIPT = "struct<text string, segments array<struct<start double, end double, text string>>, words array<struct<start double, end double, word string>>>"
+
+
+def transcribe(batch: DataFrame, make_model: Callable[[], Model], options: TranscribeOptions = TranscribeOptions()) -> DataFrame:
+    """Chunks of the videos that are to run, each with its transcript (null and an error where the model failed): folder, path, chunk_no, start_sec, end_sec, transcript, error.
+
+    ``batch`` is a ``transcription_batch`` with size_bytes and seconds of the audio; each chunk is asked for on its own,
+    so a long video is spread over many tasks. The reply is a JSON object with text, segments and words.
+    """
+    chunks = batch.filter("status = 'to_run'").select("folder", "path", F.explode(audio_chunk_plan(F.col("size_bytes"), F.col("seconds"), options.max_file_mb)).alias("c")).select("folder", "path", "c.*")
+    request = F.to_json(F.struct("path", "start_sec", "end_sec", F.lit(options.backend).alias("backend")))
+    told = ask(chunks.withColumn("request", request), "request", "reply", make_model)
+    read = F.from_json(lenient_json("reply"), TRANSCRIPT)
+    error = F.coalesce("reply_error", F.when(F.col("transcript.text").isNull(), F.lit("the reply is no transcript")))
+    rows = told.withColumn("transcript", read).withColumn("error", error)
+    return rows.withColumn("transcript", F.when(F.col("error").isNull(), F.col("transcript"))).drop("request", "reply", "reply_error")
+
+
+def transcription_counts(batch: DataFrame, chunks: DataFrame) -> DataFrame:
+    """How many titles were processed, skipped as missing, skipped as done, or failed (all of their chunks did): status, n."""
+    bad = chunks.groupBy("folder").agg(F.every(F.col("error").isNotNull()).alias("__failed"))
+    rows = batch.join(bad, "folder", "left")
+    return count_by(rows, "status", F.when(F.col("status") != "to_run", F.col("status")).when(F.col("__failed"), "failed").otherwise("processed"))
 
 
 def crop_summary(selected: DataFrame, catalogue: DataFrame, windows: DataFrame, done: DataFrame | None = None, options: CropOptions = CropOptions()) -> DataFrame:

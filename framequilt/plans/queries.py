@@ -10,8 +10,9 @@ from framequilt.functions.text import ANSWERING, ASKING, clean_text, file_name,
 from framequilt.functions.values import audio_chunk_plan, borders, component_score, crop_filter, crop_sample_times, eval_sample_times, even_int, expand_box, implausible_box, record_uid, restrict_window, safe_dir_name, safe_folder_name, timestamp
 from framequilt.operators import qa, selection, training, transcripts
 from framequilt.operators.context import first_per_segment, load_clips, neighbour_context
-from framequilt.operators.metrics import distribution, grouped_metrics, inference_key, judge_without_call, metric_key, overall_metrics, prediction, question, reference, score_rows
-from framequilt.session import cut, table
+from framequilt.operators.metrics import distribution, grouped_metrics, inference_answer, inference_key, inference_question, judge_without_call, metric_key, overall_metrics, prediction, question, reference, score_rows
+from framequilt.session import scratch, table
+from framequilt.sources.readers import first_types, tolerant_jsonl
 from framequilt.sources.sinks import output_path
 
 QUERIES: dict = {}
@@ -126,7 +127,12 @@ def metrics_grouped(spark, d):
     return grouped_metrics(_scored(spark, d), ["category", "format", "model"]).select("field", "value", *_METRICS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SCORED}, dp AS (SELECT pred_id, tp, tg, 0 AS i, list_transform(range(len(tg) + 1), lambda x: CAST(0 AS BIGINT)) AS r FROM s WHERE ok
+ UNION ALL SELECT pred_id, tp, tg, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND tg[k - 1] = tp[i + 1] THEN greatest(r[k], r[k - 1] + 1) ELSE r[k] END))) FROM dp WHERE i < len(tp)),
+c AS (SELECT pred_id, max(list_max(r)) AS n FROM dp GROUP BY pred_id),
+sr AS (SELECT s.*, CASE WHEN NOT ok THEN NULL WHEN len(tp) = 0 AND len(tg) = 0 THEN 1.0 WHEN len(tp) = 0 OR len(tg) = 0 THEN 0.0 ELSE 2.0 * c.n / (len(tp) + len(tg)) END AS rg FROM s LEFT JOIN c USING (pred_id)),
+l AS (SELECT unnest([{{'field': 'category', 'value': category}}, {{'field': 'format', 'value': format}}, {{'field': 'model', 'value': model}}]) AS q, * FROM sr)
+SELECT q.field AS field, q.value AS value, {_AGG}, round(sum(rg) / nullif(count(*) FILTER (ok), 0), 6) AS rouge_l, 0 AS llm_judge_n, CAST(NULL AS DOUBLE) AS llm_judge_accuracy, 0 AS llm_judge_missing FROM l WHERE q.value IS NOT NULL GROUP BY 1, 2""")
 def metrics_with_rouge(spark, d):
     return grouped_metrics(_scored(spark, d), ["category", "format", "model"])
 
@@ -161,6 +167,15 @@ def row_keys(spark, d):
     return rows.select("pred_id", metric_key(rows).alias("metric_key"), inference_key(rows).alias("inference_key"))
 
 
+_SAID = "list_filter(list_transform(list_filter(conversations, lambda t: t.\"from\" IN ({0})), lambda t: " + STRIP.format("coalesce(t.value, '')").replace("{", "{{").replace("}", "}}") + "), lambda v: v <> '')[1]"
+
+
+@query(f"""SELECT pred_id, {STRIP.format("replace(replace(coalesce(" + _SAID.format("'human','user'") + ", ''), '<video>', ''), '<image>', '')")} AS question, coalesce({_SAID.format("'gpt','assistant'")}, {STRIP.format("coalesce(gt_answer, '')")}) AS answer FROM predictions""")
+def inference_fields(spark, d):
+    rows = _t(spark, d, "predictions")
+    return rows.select("pred_id", inference_question(rows).alias("question"), inference_answer(rows).alias("answer"))
+
+
 @query(f"""WITH k AS (SELECT pred_id, attempt, coalesce(segment_id, 'None') || '|||' || {QUESTION} AS key FROM predictions)
 SELECT max(pred_id) AS pred_id, max_by(attempt, pred_id) AS attempt, min(pred_id) AS first_seen FROM k GROUP BY key""")
 def dedup_latest(spark, d):
@@ -183,7 +198,7 @@ def judge_rules(spark, d):
 def judge_cache(spark, d):
     rows = _t(spark, d, "predictions")
     judged = rows.filter("attempt = 1").groupBy("row_id").agg(F.max("pred_id").alias("pred_id")).withColumn("llm_judge_score", F.col("pred_id") % 3)
-    return selection.judged_before(rows.select("pred_id", "row_id"), judged.select("row_id", "llm_judge_score"), "row_id").select("pred_id", "old_score")
+    return selection.judged_before(rows.select("pred_id", "row_id"), judged.select("row_id", "llm_judge_score", "pred_id"), "row_id", "pred_id").select("pred_id", "old_score")
 
 
 @query("SELECT broad_category, category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM vqa_rows GROUP BY ALL")
@@ -234,8 +249,7 @@ def segments_per_video(spark, d):
 
 @query(f"WITH {_CLIPS}, n AS (SELECT youtube_id, count(*) AS n FROM clips GROUP BY 1) SELECT CAST(sum(least(n, 7)) AS BIGINT) AS selected FROM n")
 def selected_clip_total(spark, d):
-    counts = load_clips(_t(spark, d, "clip_captions")).groupBy("youtube_id").agg(F.count("*").alias("n"))
-    return counts.agg(F.sum(F.least("n", F.lit(7))).alias("selected"))
+    return selection.selected_total(load_clips(_t(spark, d, "clip_captions")), "youtube_id", 7)
 
 
 @query("SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY sha1('7|' || doc_id), doc_id) <= (SELECT count(*) * 30 // 100 FROM documents)")
@@ -258,6 +272,59 @@ def first_input_rows(spark, d):
     return selection.first_rows(_t(spark, d, "events"), "event_id", 100).select("event_id")
 
 
+_LINES = "l AS (SELECT *, row_number() OVER (ORDER BY pred_id) - 1 AS line_no FROM predictions)"
+
+
+def _jsonl(spark, d):
+    """The predictions written as several JSON Lines files and read again; the names of the files follow the ids."""
+    path = scratch(spark, "predictions")
+    rows = _t(spark, d, "predictions").select("pred_id", "row_id", "attempt")
+    rows.repartitionByRange(7, "pred_id").sortWithinPartitions("pred_id").write.json(path)
+    return tolerant_jsonl(spark, path, "pred_id bigint, row_id bigint, attempt int")
+
+
+@query(f"WITH {_LINES} SELECT line_no, pred_id, row_id FROM l")
+def read_jsonl(spark, d):
+    return _jsonl(spark, d).select("line_no", "pred_id", "row_id")
+
+
+@query(f"WITH {_LINES} SELECT pred_id FROM l WHERE attempt = 1 QUALIFY row_number() OVER (ORDER BY line_no) <= 150")
+def first_read_rows(spark, d):
+    return selection.first_rows(_jsonl(spark, d).filter("attempt = 1"), "line_no", 150).select("pred_id")
+
+
+@query(f"WITH {_LINES} SELECT pred_id FROM l WHERE attempt = 1 QUALIFY row_number() OVER (ORDER BY line_no) % 6 = 3")
+def rank_shard_read_rows(spark, d):
+    return selection.rank_shard(_jsonl(spark, d).filter("attempt = 1"), "line_no", 2, 6).select("pred_id")
+
+
+@query(f"WITH {_LINES} SELECT row_id, arg_max(pred_id, line_no) AS pred_id FROM l GROUP BY row_id")
+def latest_read_rows(spark, d):
+    rows = _jsonl(spark, d)
+    return selection.latest_per_key(rows, F.col("row_id"), "line_no", ["row_id", "pred_id"]).select("row_id", "pred_id")
+
+
+@query("SELECT c_nationkey AS id, arg_min(CASE lower(trim(c_mktsegment)) WHEN 'building' THEN 'Open' ELSE c_mktsegment END, c_custkey) AS type FROM (SELECT CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, c_custkey FROM customer) WHERE lower(c_mktsegment) <> 'machinery' GROUP BY 1")
+def first_surgery_types(spark, d):
+    """Customers stand in for rows of workbooks: one segment stands for a type that states nothing, one for a spelling of an open operation."""
+    segment = F.col("c_mktsegment")
+    kind = F.when(segment == "MACHINERY", " N/A ").when(segment == "BUILDING", "open surgery").otherwise(segment)
+    return first_types(_t(spark, d, "customer").withColumn("kind", kind), "c_nationkey", "kind", "c_custkey")
+
+
+@query(rf"""WITH s AS (SELECT DISTINCT entry, youtube_id, {STRIP.format("coalesce(youtube_id, '')")} AS title FROM procedure_map),
+v AS (SELECT regexp_replace(regexp_extract(video, '([^/\\]*)$', 1), '^(.+)\.[^.]*$', '\1') AS stem, min(video) AS path FROM clip_captions WHERE video IS NOT NULL GROUP BY 1),
+done AS (SELECT DISTINCT {STRIP.format("coalesce(youtube_id, '')")} AS folder FROM transcripts WHERE error IS NULL AND transcript_id % 2 = 0)
+SELECT s.title, v.path, CASE WHEN s.title = '' OR v.path IS NULL THEN 'skipped_missing' WHEN done.folder IS NOT NULL THEN 'skipped_done' ELSE 'to_run' END AS status
+FROM s LEFT JOIN v ON v.stem = s.title LEFT JOIN done ON done.folder = s.title""")
+def transcription_statuses(spark, d):
+    selected = _t(spark, d, "procedure_map").select("entry", F.col("youtube_id").alias("title")).distinct()
+    files = _t(spark, d, "clip_captions").filter("video IS NOT NULL")
+    catalogue = files.groupBy(file_stem(F.col("video")).alias("stem")).agg(F.min("video").alias("path"))
+    done = _t(spark, d, "transcripts").filter("error IS NULL AND transcript_id % 2 = 0").select(strip_ws(F.coalesce("youtube_id", F.lit(""))).alias("folder"))
+    return transcripts.transcription_batch(selected, catalogue, done).select("title", "path", "status")
+
+
 @query(f"""WITH done AS (SELECT DISTINCT row_id FROM predictions WHERE {ERROR} IS NULL AND {PRED} <> '') SELECT row_id FROM vqa_rows v WHERE split <> 'train' AND NOT EXISTS (SELECT 1 FROM done d WHERE d.row_id = v.row_id)""")
 def resume_anti_join(spark, d):
     p = _t(spark, d, "predictions")
@@ -325,7 +392,7 @@ def union_by_name(spark, d):
 
 @query("SELECT coalesce(error, 'none') AS status, count(*) AS n FROM predictions GROUP BY 1")
 def status_counts(spark, d):
-    return _t(spark, d, "predictions").groupBy(F.coalesce("error", F.lit("none")).alias("status")).agg(F.count("*").alias("n"))
+    return selection.count_by(_t(spark, d, "predictions"), "status", F.coalesce("error", F.lit("none")))
 
 
 # ---- questions
@@ -407,10 +474,15 @@ def sentence_bounds(spark, d):
     return spoken.select("transcript_id", "sentence_no", n.cast("bigint").alias("n_words"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.element_at(F.split("text", r"\s+"), -1).alias("last_word"))
 
 
-@query()
+@query(f"""WITH {_OFF}, w AS (SELECT youtube_id, transcript_id, off, unnest(transcript.words) AS w, generate_subscripts(transcript.words, 1) AS position FROM o WHERE NOT failed),
+k AS (SELECT youtube_id, transcript_id, position, w.start + off AS st, w."end" + off AS en, w.word AS t, {STRIP.format('w.word')} AS b FROM w WHERE {STRIP.format('w.word')} <> ''),
+n AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(b, '[.!?]$') THEN 1 ELSE 0 END) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS no, row_number() OVER v AS i FROM k WINDOW v AS (PARTITION BY youtube_id ORDER BY transcript_id, position)),
+p AS (SELECT *, lag(t) OVER (PARTITION BY youtube_id, no ORDER BY i) AS before FROM n)
+SELECT youtube_id, CAST(no AS BIGINT) AS sentence_no, round(min_by(st, i), 3) AS start, round(max_by(en, i), 3) AS "end",
+{STRIP.format("string_agg(CASE WHEN before IS NULL OR t IN ('.', ',', '!', '?', ';', ':', '%', ')', ']', '}') OR right(before, 1) IN ('(', '[', '{') THEN t ELSE ' ' || t END, '' ORDER BY i)")} AS text FROM p GROUP BY youtube_id, no""")
 def sentences(spark, d):
     words = transcripts.timed_rows(_offsets(spark, d), "youtube_id", "transcript_id", "words")
-    return transcripts.sentences(words, "youtube_id", ["transcript_id", "position"])
+    return transcripts.sentences(words, "youtube_id", ["transcript_id", "position"]).withColumns({"sentence_no": F.col("sentence_no").cast("bigint"), "start": F.round("start", 3), "end": F.round("end", 3)})
 
 
 _SEG = f"{_OFF}, s AS (SELECT youtube_id, transcript_id, off, unnest(transcript.segments) AS s, generate_subscripts(transcript.segments, 1) AS position FROM o WHERE NOT failed), q AS (SELECT youtube_id, transcript_id, position, s.start + off AS st, s.\"end\" + off AS en, {STRIP.format('s.text')} AS t FROM s)"
@@ -547,18 +619,33 @@ def content_parts(spark, d):
     return _t(spark, d, "vqa_rows").select("row_id", F.array_join(training.content_parts(human), "#").alias("parts"))
 
 
-@query("WITH a AS (SELECT 'captions' AS dataset, 0 AS dataset_no, doc_id FROM documents WHERE source = 'captions' QUALIFY row_number() OVER (ORDER BY sha1('1|' || doc_id), doc_id) <= (SELECT count(*) // 2 FROM documents WHERE source = 'captions')), b AS (SELECT 'steps_open', 1, doc_id FROM documents WHERE source = 'steps') SELECT * FROM a UNION ALL SELECT * FROM b")
+@query("SELECT row_id, 'user' AS role, unnest(list_filter(list_transform(string_split(replace(t.value, '<video>', chr(1) || '<video>' || chr(1)), chr(1)), lambda s: CASE WHEN s = '<video>' THEN 'video=media/' || video ELSE 'text=' || regexp_replace(s, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') END), lambda s: s <> 'text=')) AS part FROM (SELECT row_id, video, unnest(conversations) AS t FROM vqa_rows WHERE len(list_filter(conversations, lambda t: t.\"from\" = 'human' AND t.value LIKE '%<video>%')) = 1 AND len(list_filter(conversations, lambda t: t.\"from\" = 'human' AND (t.value LIKE '%<video>%<video>%' OR t.value LIKE '%<image>%'))) = 0 AND video IS NOT NULL AND video NOT LIKE '/%') WHERE t.\"from\" = 'human'")
+def training_messages(spark, d):
+    """Parts of the human turns, of the items whose placeholders and files match."""
+    turns, none = F.col("conversations"), F.array().cast("array<string>")
+    rows = _t(spark, d, "vqa_rows").filter("video IS NOT NULL AND video NOT LIKE '/%'").select("row_id", "conversations", F.array("video").alias("videos"))
+    sound = rows.filter(training.placeholder_defect(turns, none, F.col("videos")).isNull())
+    told = sound.select("row_id", F.explode(training.messages(turns, none, F.col("videos"), "media")).alias("m")).filter("m.role = 'user'")
+    parts = told.select("row_id", F.col("m.role").alias("role"), F.explode("m.content").alias("c"))
+    return parts.select("row_id", "role", F.concat("c.type", F.lit("="), F.coalesce("c.path", "c.text")).alias("part"))
+
+
+@query("WITH a AS (SELECT 'surg_segment_captions' AS dataset, 0 AS dataset_no, doc_id FROM documents WHERE source = 'captions' QUALIFY row_number() OVER (ORDER BY sha1('1|' || doc_id), doc_id) <= (SELECT count(*) // 2 FROM documents WHERE source = 'captions')), b AS (SELECT 'surg_step_descriptions_open', 1, doc_id FROM documents WHERE source = 'steps') SELECT * FROM a UNION ALL SELECT * FROM b")
 def data_mixture(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "source")
-    chosen = training.parse_mixture("captions%50, steps_open", training.registry("/data"))
-    frames = [docs.filter(F.col("source") == x.name.split("_")[0]).drop("source") for x in chosen]
+    chosen = training.parse_mixture("surg_segment_captions%50, surg_step_descriptions_open", training.registry("/data"))
+    frames = [docs.filter(F.col("source") == source).drop("source") for source in ("captions", "steps")]
     return training.mixture(list(zip(chosen, frames, strict=True)), "doc_id", 1)
 
 
-@query()
+@query(f"""WITH n AS (SELECT row_id, len(string_split(coalesce({TURN.format('conversations', "'gpt','assistant'")}, ''), ' ')) AS n FROM vqa_rows)
+SELECT row_id, [-100, -100, -100] || range(10, n + 11) || [151645, 3] || CASE row_id % 3 WHEN 0 THEN [-100, -100] || range(20, 22) || [151645, 4] WHEN 1 THEN [-100, -100, -100, -100] ELSE [-100, -100] || [151645, 77091, -100, -100] END AS labels FROM n""")
 def label_masks(spark, d):
-    """Sequences of answers between markers, made from the rows' words."""
+    """Sequences with an answer between markers, made from the rows' words; then a second one, one that never ends, or one that ends at once and is followed by a marker."""
     n = F.size(F.split(F.coalesce(first_turn(F.col("conversations"), ANSWERING), F.lit("")), " "))
-    ids = F.concat(F.array(F.lit(1), F.lit(training.ANSWER_TOKEN), F.lit(2)), F.sequence(F.lit(10), n + 10), F.array(F.lit(training.END_TOKEN), F.lit(3)))
-    rows = _t(spark, d, "vqa_rows").select("row_id", ids.cast("array<int>").alias("ids"))
-    return rows.select("row_id", training.label_mask(F.col("ids")).alias("labels"))
+    a, e = F.lit(training.ANSWER_TOKEN), F.lit(training.END_TOKEN)
+    first = F.concat(F.array(F.lit(1), a, F.lit(2)), F.sequence(F.lit(10), n + 10), F.array(e, F.lit(3)))
+    kinds = F.pmod("row_id", F.lit(3))
+    second = F.when(kinds == 0, F.array(a, F.lit(2), F.lit(20), F.lit(21), e, F.lit(4))).when(kinds == 1, F.array(a, F.lit(2), F.lit(20), F.lit(21))).otherwise(F.array(a, F.lit(2), e, a, F.lit(7), F.lit(8)))
+    rows = _t(spark, d, "vqa_rows").select("row_id", F.concat(first, second).cast("array<int>").alias("ids"))
+    return rows.select("row_id", F.transform(training.label_mask(F.col("ids")), lambda x: x.cast("bigint")).alias("labels"))

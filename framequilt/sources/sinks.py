@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequilt.functions.text import file_name, file_stem
+from framequilt.session import exists, write_file
 from framequilt.sources.readers import numbered_lines
 
 
@@ -18,17 +18,46 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
 
 
-def write_summary(metrics: DataFrame, grouped: DataFrame, path: str, **notes) -> dict:
-    """One pretty JSON of a row of overall metrics and of the metrics of each group; both are as small as the groups are few."""
-    summary: dict = {"overall": metrics.first().asDict(), "grouped": {}}
+def summary(metrics: DataFrame, grouped: DataFrame, **notes) -> dict:
+    """A row of overall metrics, and the metrics of each group by field and value; both are as small as the groups are few."""
+    out: dict = {"overall": metrics.first().asDict(), "grouped": {}}
     for r in grouped.orderBy("field", F.desc("n_success"), "value").collect():
         row = r.asDict()
-        summary["grouped"].setdefault(row.pop("field"), {})[row.pop("value")] = row
-    summary |= notes
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(summary, f, indent=2, ensure_ascii=False)
-    return summary
+        out["grouped"].setdefault(row.pop("field"), {})[row.pop("value")] = row
+    return out | notes
+
+
+def write_summary(metrics: DataFrame, grouped: DataFrame, path: str, **notes) -> dict:
+    """One pretty JSON of ``summary``, on whatever store the path names."""
+    told = summary(metrics, grouped, **notes)
+    write_file(metrics.sparkSession, path, json.dumps(told, indent=2, ensure_ascii=False))
+    return told
+
+
+def _shown(x) -> str:
+    return "N/A" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
+
+
+def summary_report(told: dict) -> str:
+    """A summary as readers see it on the console: a block for all rows, then one for each field with its values."""
+
+    def block(of: dict, names: Sequence[str]) -> list[str]:
+        return [f"  {n}: {_shown(of.get(n))}" for n in names]
+
+    everything = list(told["overall"])
+    scores = [n for n in ("n_success", "exact_match", "token_f1", "rouge_l", "llm_judge_n", "llm_judge_accuracy") if n in told["overall"]]
+    lines = ["All rows", *block(told["overall"], everything)]
+    for field, groups in told["grouped"].items():
+        lines += ["", f"By {field}"]
+        for value, of in groups.items():
+            lines += [f"[{field} = {value}]", *block(of, scores)]
+    return "\n".join(lines)
+
+
+def distribution_report(counts: DataFrame, title: str) -> str:
+    """A distribution (columns, n, percent) as lines, most frequent first; as long as there are categories."""
+    named = [c for c in counts.columns if c not in ("n", "percent")]
+    return "\n".join([title, *(f"  {' / '.join(str(r[c]) for c in named)}: {r['n']} ({r['percent']:.2f}%)" for r in counts.collect())])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -43,22 +72,24 @@ def write_ranks(df: DataFrame, path: str, world: int, order: str = "line_no") ->
 
 def merge_ranks(spark: SparkSession, path: str, world: int, schema: str) -> DataFrame:
     """Rows of all ranks with rank and line_no; a rank without folder is an error. Order by both for the merged order."""
-    missing = [r for r in range(world) if not os.path.isdir(os.path.join(path, f"rank={r}"))]
+    missing = [r for r in range(world) if not exists(spark, f"{path}/rank={r}")]
     if missing:
         raise FileNotFoundError(f"no output of ranks {missing} in {path}")
     return spark.read.schema(f"{schema}, rank int").json(path)
 
 
 def write_texts(df: DataFrame, key: str, content: str, folder: str, suffix: str) -> None:
-    """One text file per row, written where the rows are."""
-    os.makedirs(folder, exist_ok=True)
+    """One text file per row in ``folder``, which all machines must reach. Written by the tasks; a repeated task writes the same file again."""
+    from pyarrow import fs
 
     def save(rows) -> None:
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store.create_dir(base, recursive=True)
         for r in rows:
-            with open(os.path.join(folder, f"{r[0]}{suffix}"), "w", encoding="utf-8") as f:
-                f.write(r[1])
+            with store.open_output_stream(f"{base}/{r[0]}{suffix}") as f:
+                f.write(r[1].encode("utf-8"))
 
-    df.select(key, content).foreachPartition(save)
+    df.filter(F.col(content).isNotNull()).select(key, content).foreachPartition(save)
 
 
 def existing_outputs(spark: SparkSession, folder: str, suffixes: Sequence[str]) -> DataFrame:
@@ -80,7 +111,7 @@ def output_path(path: Column, out: str, root: str | None = None) -> Column:
 
 def merged_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines of several files in the order given: file_no, line_no, value."""
-    if absent := [p for p in paths if not os.path.exists(p)]:
+    if absent := [p for p in paths if not exists(spark, p)]:
         raise FileNotFoundError(f"missing: {absent}")
     out: DataFrame | None = None
     for i, p in enumerate(paths):

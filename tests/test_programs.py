@@ -1,12 +1,16 @@
 import json
 import os
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from framequilt.models import Replay, ask, with_retries
-from framequilt.options import CropOptions, GenerateOptions, InferenceOptions
-from framequilt.plans.programs import choose_clips, crop_summary, evaluate, generate_questions, judge, predict
+from framequilt.operators.metrics import distribution, inference_answer, inference_question
+from framequilt.operators.selection import first_rows
+from framequilt.operators.transcripts import detailed_json, transcription_batch, with_offsets
+from framequilt.options import CropOptions, GenerateOptions, InferenceOptions, MetricsOptions
+from framequilt.plans.programs import choose_clips, crop_summary, evaluate, evaluate_judged, generate_questions, judge, predict, transcribe, transcription_counts
 from framequilt.sources import readers, sinks
 from framequilt.streaming.incremental import interval_state, run_available
 
@@ -124,7 +128,7 @@ def test_evaluation_judge_and_resume(spark):
     todo = df.select("line_no", "segment_id", "video", "question", "gt_answer")
     new = predict(todo, Replay(default="answer"), done=df)
     assert {r["line_no"] for r in new.collect()} == {3, 4}
-    assert predict(todo, Replay(default="a"), options=InferenceOptions(limit=3)).count() == 2
+    assert predict(todo, Replay(default="a"), options=InferenceOptions(limit=3)).count() == 3
 
 
 def test_crop_summary(spark):
@@ -151,3 +155,123 @@ def test_streams(spark, tmp_path):
     query.stop()
     rows = spark.sql("SELECT key, gaps FROM gaps").collect()
     assert [[tuple(g) for g in r["gaps"]] for r in rows if r["key"] == "v"] == [[(10, 20)], []]
+
+
+def test_line_numbers_over_files_and_partitions(spark, tmp_path):
+    for name, lines in (("a.jsonl", ['{"n": 0}', "", '{"n": 1}']), ("b.jsonl", [f'{{"n": {i}, "pad": "{"x" * 200}"}}' for i in range(2, 400)]), ("c.jsonl", ["[1]", '{"n": 400}', "broken"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = readers.tolerant_jsonl(spark, str(tmp_path), "n int")
+        assert rows.rdd.getNumPartitions() > 3
+        assert [r["n"] for r in rows.orderBy("line_no").collect()] == list(range(401))
+        assert sorted(r["n"] for r in first_rows(rows, "line_no", 3).collect()) == [0, 1, 2]
+        lines = readers.numbered_lines(spark, str(tmp_path))
+        assert sorted(r["line_no"] for r in lines.collect()) == list(range(404))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_resume_keeps_what_is_no_object_and_a_broken_array_is_an_error(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"n": 1}\n3\n[{"n": 2}]\nnull\nbroken\n\n')
+    rows = readers.resume_jsonl(spark, str(tmp_path / "r.jsonl"), "n int").orderBy("line_no").collect()
+    assert [r["n"] for r in rows] == [1, None, None, None] and readers.resume_jsonl(spark, str(tmp_path / "none"), "n int").count() == 0
+    for text in ('[{"n": 1}', '{"n": 1}', "[1] x"):
+        (tmp_path / "x.json").write_text(text)
+        with pytest.raises(Exception, match="one JSON array"):
+            readers.json_array(spark, str(tmp_path / "x.json"), "n int").collect()
+
+
+def test_catalogue_takes_suffixes_in_any_case(spark, tmp_path):
+    for name in ("a.mp4", "b.MP4", "c.Mp4", "d.txt", "e.mp4.part"):
+        (tmp_path / name).write_text("x")
+    assert {r["stem"] for r in readers.video_catalogue(spark, str(tmp_path)).collect()} == {"a", "b", "c"}
+
+
+def _workbook(path, rows):
+    """A small workbook, written part by part."""
+    cells = []
+    for i, row in enumerate(rows, 1):
+        one = []
+        for j, v in enumerate(row):
+            ref = f"{chr(65 + j)}{i}"
+            if v is None:
+                continue
+            one.append(f'<c r="{ref}"><v>{v}</v></c>' if isinstance(v, (int, float)) else f'<c r="{ref}" t="inlineStr"><is><t>{v}</t></is></c>')
+        cells.append(f'<row r="{i}">{"".join(one)}</row>')
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(cells)}</sheetData></worksheet>")
+
+
+def test_workbooks_and_type_map(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", [["id ", "Type"], ["v1", "n/a"], ["v2", "open surgery"], [7, "Robotic"], [None, "Open"], ["nan", "Open"]])
+    _workbook(tmp_path / "b.xlsx", [["Type", "id"], ["laparoscopic", "v1"], ["robotic", "v2"], [None, "v3"]])
+    _workbook(tmp_path / "c.xlsx", [["other"], ["x"]])
+    got = {r["id"]: r["type"] for r in readers.type_map(spark, str(tmp_path)).collect()}
+    assert got == {"v1": "Laparoscopic", "v2": "Open", "7": "Robotic"}
+    both = readers.sheets(spark, str(tmp_path))
+    assert both.count() == 9 and {"id", "Type", "other", "file_no", "line_no"} == set(both.columns)
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError, match="no sheets"):
+        readers.type_map(spark, str(tmp_path / "empty"))
+
+
+def test_earlier_verdicts(spark):
+    df = spark.createDataFrame([(1, "t", "q", "new", "Yes"), (2, "u", "q", "x", "Yes"), (3, "w", "q", "x", "Yes")], "line_no bigint, segment_id string, question string, prediction string, gt_answer string")
+    old = [(1, "t|||q", 1, "first", "old"), (2, "t|||q", 0, "last", "older"), (3, "u|||q", 1, "fine", "x"), (4, "u|||q", None, "lost", "x")]
+    old = spark.createDataFrame(old, "line_no bigint, row_key string, llm_judge_score int, llm_judge_reason string, prediction string").repartition(3)
+    got = {r["segment_id"]: r for r in judge(df, Replay(default='{"score": 1, "reason": "r"}'), old, MetricsOptions(judge_model="m")).collect()}
+    # the last verdict of a key decides, and the earlier row is returned as it was; a lost one is asked again
+    assert (got["t"]["llm_judge_score"], got["t"]["llm_judge_reason"], got["t"]["prediction"]) == (0, "last", "older")
+    assert got["u"]["llm_judge_raw"] == '{"score": 1, "reason": "r"}' and got["u"]["llm_judge_model"] == "m" and got["w"]["llm_judge_score"] == 1
+    judged, overall, _ = evaluate_judged(df.unionByName(df.withColumn("line_no", F.col("line_no") + 10)), Replay(default='{"score": 1}'))
+    assert judged.count() == 3 and overall.first()["llm_judge_n"] == 3
+
+
+def test_inference_resolution(spark):
+    turns = "array<struct<`from` string, value string>>"
+    rows = [
+        (1, [("human", " "), ("user", "<video>\nfirst "), ("gpt", ""), ("assistant", "said")], "flat", "p", "gt", "a"),
+        (2, None, None, "<image> prompt", None, " bare "),
+        (3, [("Human", "other role")], "", "p", None, None),
+    ]
+    df = spark.createDataFrame(rows, f"n int, conversations {turns}, question string, prompt string, gt_answer string, answer string")
+    got = [(r["q"], r["a"]) for r in df.select("n", inference_question(df).alias("q"), inference_answer(df).alias("a")).orderBy("n").collect()]
+    assert got == [("first", "said"), ("prompt", "bare"), ("", "")]
+
+
+def test_transcription_batch(spark):
+    selected = spark.createDataFrame([(" a ",), ("b",), ("",), (None,), ("c",), ("d",)], "title string")
+    catalogue = spark.createDataFrame([("a", "/a.mp4"), ("b", "/b.mp4"), ("d", "/d.mp4")], "stem string, path string")
+    done = spark.createDataFrame([("b",)], "folder string")
+    batch = transcription_batch(selected, catalogue, done)
+    assert {(r["title"], r["status"]) for r in batch.collect()} == {("a", "to_run"), ("b", "skipped_done"), ("", "skipped_missing"), ("c", "skipped_missing"), ("d", "to_run")}
+    sized = batch.withColumns({"size_bytes": F.when(F.col("title") == "a", 60_000_000).otherwise(10), "seconds": F.lit(100.0)})
+
+    def model():
+        def answer(requests):
+            r = json.loads(requests[0])
+            if r["path"] == "/d.mp4":
+                raise OSError("gone")
+            return [json.dumps({"text": f"{r['start_sec']:.0f}", "segments": [{"start": 0, "end": 2, "text": "s"}], "words": []})]
+
+        return answer
+
+    chunks = transcribe(sized, model)
+    rows = {(r["folder"], r["chunk_no"]): r for r in chunks.collect()}
+    assert len([k for k in rows if k[0] == "a"]) > 1 and rows["a", 0]["transcript"]["text"] == "0" and rows["d", 0]["transcript"] is None and "gone" in rows["d", 0]["error"]
+    assert {r["status"]: r["n"] for r in transcription_counts(sized, chunks).collect()} == {"processed": 1, "failed": 1, "skipped_done": 1, "skipped_missing": 3}
+    told = json.loads(detailed_json(with_offsets(chunks, "folder", "chunk_no"), "folder", "chunk_no").filter("folder = 'a'").first()["content"])
+    assert told["chunk_count"] == told["chunks_transcribed"] == len(told["segments"]) and told["segments"][1]["start"] == 2.0 and "[ERROR" not in told["text"]
+
+
+def test_reports(spark):
+    overall = spark.createDataFrame([(3, 2, 0.5, None)], "n_total int, n_success int, exact_match double, llm_judge_accuracy double")
+    grouped = spark.createDataFrame([("format", "open", 3, 2, 0.5, None)], "field string, value string, n_total int, n_success int, exact_match double, llm_judge_accuracy double")
+    text = sinks.summary_report(sinks.summary(overall, grouped, file="x"))
+    assert "exact_match: 0.5000" in text and "llm_judge_accuracy: N/A" in text and "[format = open]" in text
+    counts = distribution(spark.createDataFrame([("a",), ("a",), ("b",)], "c string"), "c")
+    assert sinks.distribution_report(counts, "By category").splitlines() == ["By category", "  a: 2 (66.67%)", "  b: 1 (33.33%)"]
