@@ -10,6 +10,23 @@ def _logsumexp(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+def _distinct(x: np.ndarray, y: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences without repetitions, and how often each occurs."""
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    first: dict[bytes, int] = {}
+    often: list[int] = []
+    kept: list[int] = []
+    for i, (a, t) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
+        key = x[a : a + t].tobytes() + y[a : a + t].tobytes()
+        at = first.setdefault(key, len(kept))
+        if at == len(kept):
+            kept.append(i)
+            often.append(0)
+        often[at] += 1
+    rows = np.concatenate([np.arange(starts[i], starts[i] + lengths[i]) for i in kept]) if kept else np.zeros(0, dtype=np.int64)
+    return x[rows], y[rows], lengths[kept], np.array(often, dtype=float)
+
+
 class CRF:
     def __init__(self, tags: list[str], n_features: int) -> None:
         self.tags = list(tags)
@@ -67,17 +84,19 @@ class CRF:
         return out
 
     def fit(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 450, rate: float = 0.1, l2: float = 1e-4) -> None:
-        """Maximum likelihood with a quadratic penalty, full gradient, Adam. Sequences of one length are taken together: no padding."""
+        """Maximum likelihood with a quadratic penalty, full gradient, Adam. Sequences of one length are taken together: no padding. Sequences with the same features and tags are computed once and count as often as they occur."""
         k, n = len(self.tags), len(lengths)
+        x, y, lengths, often = _distinct(x, y, lengths)
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        groups = [(np.full(int((lengths == t).sum()), t), starts[lengths == t][:, None] + np.arange(t)[None, :]) for t in np.unique(lengths).tolist()]
+        groups = [(np.full(int((lengths == t).sum()), t), starts[lengths == t][:, None] + np.arange(t)[None, :], often[lengths == t]) for t in np.unique(lengths).tolist()]
+        per_clause = np.repeat(often, lengths)[:, None]
         gold = np.zeros((len(x), k))
         gold[np.arange(len(x)), y] = 1
         gold_move = np.zeros((k, k))
-        for _, at in groups:
-            np.add.at(gold_move, (y[at[:, :-1]].ravel(), y[at[:, 1:]].ravel()), 1)
-        gold_begin = np.bincount(y[starts], minlength=k)
-        gold_end = np.bincount(y[starts + lengths - 1], minlength=k)
+        for _, at, many in groups:
+            np.add.at(gold_move, (y[at[:, :-1]].ravel(), y[at[:, 1:]].ravel()), np.repeat(many, at.shape[1] - 1))
+        gold_begin = np.bincount(y[starts], weights=often, minlength=k)
+        gold_end = np.bincount(y[starts + lengths - 1], weights=often, minlength=k)
         names = ("w", "move", "begin", "end")
         m = {a: np.zeros_like(getattr(self, a)) for a in names}
         s = {a: np.zeros_like(getattr(self, a)) for a in names}
@@ -85,17 +104,17 @@ class CRF:
             u = x @ self.w
             p = np.zeros((len(x), k))
             moves = np.zeros((k, k))
-            for own, at in groups:
+            for own, at, many in groups:
                 alpha, beta, z = self._pass(u, at, own)
                 p[at] = np.exp(alpha + beta - z[:, None, None])
                 if at.shape[1] > 1:
                     pair = alpha[:, :-1, :, None] + self.move + (u[at[:, 1:]] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-                    moves += np.exp(pair).sum(axis=(0, 1))
+                    moves += (np.exp(pair) * many[:, None, None, None]).sum(axis=(0, 1))
             g = {
-                "w": x.T @ (p - gold) / n + l2 * self.w,
+                "w": x.T @ ((p - gold) * per_clause) / n + l2 * self.w,
                 "move": (moves - gold_move) / n + l2 * self.move,
-                "begin": (p[starts].sum(axis=0) - gold_begin) / n + l2 * self.begin,
-                "end": (p[starts + lengths - 1].sum(axis=0) - gold_end) / n + l2 * self.end,
+                "begin": ((p[starts] * often[:, None]).sum(axis=0) - gold_begin) / n + l2 * self.begin,
+                "end": ((p[starts + lengths - 1] * often[:, None]).sum(axis=0) - gold_end) / n + l2 * self.end,
             }
             for a in names:
                 m[a] = 0.9 * m[a] + 0.1 * g[a]

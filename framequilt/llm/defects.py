@@ -26,9 +26,9 @@ from framequilt.session import cut, parallelism
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 DEFECT = {"refusal": "refusal", "echo": "copies_question", "foreign": "other_language", "unfinished": "truncated"}
-#: Bounds of the training sample: pairs, and characters read of each.
+#: Bounds of the training sample: pairs, and characters of a question or an answer (pairs with longer ones are not drawn).
 SAMPLE_PAIRS = 3_000
-SAMPLE_CHARS = 2_000
+SAMPLE_CHARS = 20_000
 #: Characters of all counted words up to which their table is broadcast to the answers left open; a larger one is joined by shuffle, with the same result.
 BROADCAST_CHARS = 4_000_000
 #: Share of an answer's words that a tag must cover to name its defect.
@@ -40,13 +40,12 @@ _WORD = re.compile(r"[㐀-鿿]|[^\W㐀-鿿]+")
 _CHOICE = re.compile(r"^\s*[\"'“]?\(?[A-Ha-h]\)?[.):]?[\"'”]?\s*$")
 _DONE = re.compile(r"[.!?。！？][\"'”»)\]]*$")
 
-# Cues of refusals.
+# General cues of inability, of what merely can't be seen, of a speaker who means itself, and of regret. What else refusals say is learned from the data.
 _CUES = {
-    "unable": r"\b(?:cannot|can't|can not|could not|unable|not able|won't|will not|must decline|declined?|refuse[ds]?|refrain|rather not|prefer not|no way (?:for me|to)|not (?:willing|going|prepared|comfortable|in a position)|(?:do|does|will|can)(?:n't| not) (?:comment|answer|provide|discuss|analy[sz]e|assess|interpret|describe|respond|support|tell|help)|beyond (?:my|the scope)|not possible for|not allowed|not permitted|can be given|be fulfilled|outside what|do(?:n't| not) have (?:the )?(?:access|ability)|comply|no puedo|ne peux pas|ne suis pas en mesure|kann (?:ich )?(?:leider )?nicht|não posso|non posso|kan (?:ik )?(?:helaas )?niet|не могу)\b|无法|不能回答",
-    "seen": r"\b(?:cannot|can't|can not|could not|not) (?:yet )?be (?:seen|visuali[sz]ed|identified|recogni[sz]ed|distinguished|made out)\b",
-    "self": r"\b(?:i|i'm|i'd|i am|we|me|my|this (?:system|model|request|assistant|tool|service))\b|\bas an? (?:ai|assistant|language model|text-based|model)\b|\btext-based\b|作为",
+    "unable": r"\b(?:cannot|can't|can not|could not|unable|not able|won't|will not|must decline|declined?|refuse[ds]?|refrain|rather not|prefer not|no way (?:for me|to)|not (?:willing|going|prepared|comfortable|in a position)|(?:do|does|will|can)(?:n't| not) (?:comment|answer|provide|discuss|assess|respond|support|tell|help)|not possible for|not allowed|not permitted|can be given|do(?:n't| not) have (?:the )?(?:access|ability)|comply|no puedo|ne peux pas|ne suis pas en mesure|kann (?:ich )?(?:leider )?nicht|não posso|non posso|kan (?:ik )?(?:helaas )?niet|не могу)\b|无法|不能回答",
+    "seen": r"\b(?:cannot|can't|can not|could not|not) (?:(?:quite|yet|fully|clearly) )*(?:be )?(?:seen|visuali[sz]ed|identified|recogni[sz]ed|distinguished|made out)\b",
+    "self": r"\b(?:i|i'm|i'd|i am|we|me|my|this (?:system|model|request|assistant|tool|service))\b|\bas an? (?:ai|assistant|language model|model)\b|作为",
     "regret": r"\b(?:sorry|apologies|apologi[sz]e|unfortunately|regret|lo siento|désolée?|leider|desculpe|lamento|mi dispiace|helaas|извините|к сожалению)\b|抱歉|对不起",
-    "handover": r"\b(?:please (?:provide|ask|consult|contact|share|describe)|instead|more information|qualified|clinician|policy|guidelines|sensitive|medical (?:content|imagery|advice)|patient care|graphic|footage|frames|recordings?|material provided|that question|video content|content policy|operative scenes)\b",
 }
 # Articles, prepositions, conjunctions and auxiliaries, which a bare phrase of a few words seldom has.
 _CLOSED = set(
@@ -62,6 +61,12 @@ _STRANGE_STEPS = (0.15, 0.35, 0.6)
 #: Share of finished answers below which a word's count makes it strange to them.
 STRANGE = 0.01
 _LENGTH_STEPS = (6, 9)
+_REFUSED_STEPS = (-1.0, 0.0, 0.7, 1.5, 2.5)
+#: Share of sure refusals in which a word must occur to have log odds of its own, and the bounds of these.
+REFUSED = 0.01
+_LEAST_REFUSED, _MOST_REFUSED = -2.0, 4.0
+#: A word in as large a share of answers counts as usual in them.
+_USUAL = 1e-3
 
 
 def plain(text: str | None) -> str:
@@ -76,6 +81,20 @@ def clauses(text: str) -> list[str]:
     return [c for p in _CLAUSE.split(text) if p and (c := p.strip()) and _WORD.search(c)]
 
 
+def _cues(low: str) -> dict[str, bool]:
+    hit = {k: bool(r.search(low)) for k, r in _CUE.items()}
+    hit["unable"] = hit["unable"] and not hit["seen"]
+    return hit
+
+
+def sure_refusal(answer: str) -> bool:
+    """A short answer in which a speaker that means itself, or regrets, states an inability: where the words of refusals are learned from."""
+    if len(answer) > 400:
+        return False
+    hit = _cues(answer.lower().replace("’", "'"))
+    return hit["unable"] and (hit["self"] or hit["regret"])
+
+
 def in_order(part: list[str], whole: list[str]) -> int:
     """Length of the longest common subsequence; one row of the table is held."""
     row = [0] * (len(whole) + 1)
@@ -88,9 +107,19 @@ def in_order(part: list[str], whole: list[str]) -> int:
     return row[-1]
 
 
-def ending(word: str, counts: dict[str, tuple[int, int]]) -> int:
+def refused_odds(word: str, counts: dict[str, tuple[int, int, int]]) -> float:
+    """Log odds of a word in sure refusals against finished answers, of a word that neither uses often 0."""
+    n_finished, _, n_refused = counts.get("", (0, -1, 0))
+    n, _, r = counts.get(word, (0, 0, 0))
+    if not n_finished or not n_refused or (n == 0 and r == 0):
+        return 0.0
+    odds = np.log((r + 0.5) / (n_refused + 1)) - np.log((max(0, n - r) + 0.5) / (n_finished + 1) + _USUAL)
+    return float(min(_MOST_REFUSED, max(_LEAST_REFUSED, odds)))
+
+
+def ending(word: str, counts: dict[str, tuple[int, ...]]) -> int:
     """How often a word ends a sentence: 0 unknown, 1 hardly ever, 2 sometimes, 3 often."""
-    n, last = counts.get(word, (0, 0))
+    n, last = counts.get(word, (0, 0))[:2]
     if n == 0:
         return 0
     return 1 if last * 50 < n else 2 if last * 6 < n else 3
@@ -109,6 +138,8 @@ _NAMES = (
     + ["cue_self_unable", "cue_any", "cue_earlier"]
     + [f"strange_{i}" for i in range(len(_STRANGE_STEPS) + 1)]
     + ["strange_self", "strange_unable"]
+    + [f"refused_{i}" for i in range(len(_REFUSED_STEPS) + 1)]
+    + ["refused_strange", "refused_self"]
     + [f"lcs_{i}" for i in range(len(_LCS_STEPS) + 1)]
     + [f"cover_{i}" for i in range(len(_COVER_STEPS) + 1)]
     + ["lcs_and_cover", "prefix"]
@@ -118,13 +149,13 @@ _NAMES = (
     + ["last", "first", "only", "last_done", "last_open", "last_mark", "last_paren", "last_choice"]
     + [f"open_ending_{i}" for i in range(4)]
     + [f"open_length_{i}" for i in range(len(_LENGTH_STEPS) + 1)]
-    + ["open_closed", "open_short_bare"]
+    + ["open_closed", "open_short_bare", "bare_unlike"]
     + ["bias"]
 )
 _AT = {n: i for i, n in enumerate(_NAMES)}
 
 
-def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple[int, int]], ends: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple[int, int, int]], ends: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows of all clauses of all answers, clauses per answer, words per clause. Pairs are (question, answer), plain.
 
     ``ends`` are the counts of each answer's ``open_word``; without it they are looked up in ``counts``.
@@ -135,7 +166,8 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
     lengths = np.array([len(c) for c in split], dtype=np.int64)
     x = np.zeros((int(lengths.sum()), len(_NAMES)))
     size = np.zeros(len(x), dtype=np.int64)
-    n_finished, home = counts.get("", (0, -1))
+    n_finished, home, _ = counts.get("", (0, -1, 0))
+    refused_of: dict[str, float] = {}
     at = 0
     for no, ((q, a), cs, s) in enumerate(zip(pairs, split, asked, strict=True)):
         wq = words(q)
@@ -158,17 +190,23 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
             f = x[at + i]
             size[at + i] = max(1, len(ws))
             low = c.lower().replace("’", "'")
-            hit = {k: bool(r.search(low)) for k, r in _CUE.items()}
-            hit["unable"] = hit["unable"] and not hit["seen"]
+            hit = _cues(low)
             for k, v in hit.items():
                 f[_AT[f"cue_{k}"]] = v
             f[_AT["cue_self_unable"]] = hit["self"] and hit["unable"]
             # words can only be strange in the language of most answers
-            strange = sum(counts.get(w, (0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws) / max(1, len(ws)) if lang == home else 0.0
+            strange = sum(counts.get(w, (0, 0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws) / max(1, len(ws)) if lang == home else 0.0
             f[_AT[f"strange_{bisect_right(_STRANGE_STEPS, strange)}"]] = 1
             f[_AT["strange_self"]] = strange >= 0.35 and hit["self"]
             f[_AT["strange_unable"]] = strange >= 0.35 and hit["unable"]
-            any_cue = hit["unable"] or hit["regret"] or hit["handover"]
+            for w in ws:
+                if w not in refused_of:
+                    refused_of[w] = refused_odds(w, counts)
+            refused = sum(refused_of[w] for w in ws) / max(1, len(ws))
+            f[_AT[f"refused_{bisect_right(_REFUSED_STEPS, refused)}"]] = 1
+            f[_AT["refused_strange"]] = refused >= 0.7 and strange >= 0.35
+            f[_AT["refused_self"]] = refused >= 0.7 and hit["self"]
+            any_cue = hit["unable"] or hit["regret"]
             f[_AT["cue_any"]] = any_cue
             f[_AT["cue_earlier"]] = earlier
             earlier = earlier or any_cue
@@ -208,15 +246,18 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
                     f[_AT[f"open_length_{bisect_right(_LENGTH_STEPS, n_words)}"]] = 1
                     closed = any(w in _CLOSED for part in wc for w in part)
                     f[_AT["open_closed"]] = closed
-                    f[_AT["open_short_bare"]] = n_words <= 5 and not closed and not f[_AT["last_mark"]] and not f[_AT["last_paren"]]
+                    bare_phrase = n_words <= 5 and not closed and not f[_AT["last_mark"]] and not f[_AT["last_paren"]]
+                    f[_AT["open_short_bare"]] = bare_phrase
+                    f[_AT["bare_unlike"]] = bare_phrase and cover < 0.5
         at += len(cs)
     return x, lengths, size
 
 
-def ending_counts(answers: list[str]) -> dict[str, tuple[int, int]]:
-    """How often each word of finished answers occurs, and how often it ends a sentence; under '' the number of these answers, and -1."""
+def ending_counts(answers: list[str]) -> dict[str, tuple[int, int, int]]:
+    """How often each word of finished answers occurs, how often it ends a sentence, and in how many sure refusals it stands; under '' the number of finished answers, -1, and the number of sure refusals."""
     n: Counter[str] = Counter()
     last: Counter[str] = Counter()
+    refused: Counter[str] = Counter()
     for a in answers:
         if _DONE.search(a):
             n[""] += 1
@@ -224,22 +265,27 @@ def ending_counts(answers: list[str]) -> dict[str, tuple[int, int]]:
                 if ws := words(s):
                     n.update(ws)
                     last[ws[-1]] += 1
-    return {w: (k, last[w]) for w, k in n.items()} | {"": (n[""], -1)}
+        if sure_refusal(a):
+            refused[""] += 1
+            refused.update(set(words(a)))
+    return {w: (n[w], last[w], refused[w]) for w in n.keys() | refused.keys()} | {"": (n[""], -1, refused[""])}
 
 
 class Corpus(NamedTuple):
-    """What is counted over all pairs: a table of word, n, last (see ``ending_counts``), finished answers, the language of most questions (-1: none), characters of all words."""
+    """What is counted over all pairs: a table of word, n, last, refused (see ``ending_counts``), finished answers, sure refusals, the language of most questions (-1: none), characters of all words."""
 
     table: DataFrame
     n_finished: int
+    n_refused: int
     home: int
     chars: int
 
-    def known(self, wanted: set[str]) -> dict[str, tuple[int, int]]:
-        """Counts of the ``wanted`` words and of those that aren't strange: at most 1 / STRANGE times the mean words of a finished answer."""
+    def known(self, wanted: set[str]) -> dict[str, tuple[int, int, int]]:
+        """Counts of the ``wanted`` words, of those that aren't strange and of those that refusals use: at most 1 / STRANGE times the mean words of a finished answer, and 1 / REFUSED times those of a sure refusal."""
         asked = self.table.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "word string")
-        rows = self.table.join(F.broadcast(asked), "word", "left_semi").unionByName(self.table.filter(F.col("n") >= F.lit(STRANGE) * self.n_finished))
-        return {r["word"]: (r["n"], r["last"]) for r in rows.collect()} | {"": (self.n_finished, self.home)}
+        often = (F.col("n") >= F.lit(STRANGE) * self.n_finished) | ((F.col("refused") > 1) & (F.col("refused") >= F.lit(REFUSED) * self.n_refused))
+        rows = self.table.join(F.broadcast(asked), "word", "left_semi").unionByName(self.table.filter(often))
+        return {r["word"]: (r["n"], r["last"], r["refused"]) for r in rows.collect()} | {"": (self.n_finished, self.home, self.n_refused)}
 
 
 def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) -> Corpus:
@@ -249,7 +295,7 @@ def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) ->
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n = ending_counts([plain(a) for a in pdf["a"]])
-            yield pd.DataFrame([(w, k, max(0, last)) for w, (k, last) in n.items()], columns=["word", "n", "last"])
+            yield pd.DataFrame([(w, k, max(0, last), r) for w, (k, last, r) in n.items()], columns=["word", "n", "last", "refused"])
 
     def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -258,23 +304,24 @@ def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) ->
             n = np.bincount(held.value.score(q).argmax(axis=1), weights=pdf["n"].to_numpy() * own, minlength=len(held.value.classes))
             yield pd.DataFrame({"lang": np.arange(len(n)), "n": n.astype(np.int64)})
 
-    told = pairs.select(F.col(answer).alias("a")).filter("a IS NOT NULL").mapInPandas(count, "word string, n bigint, last bigint")
-    table = cut(told.groupBy("word").agg(F.sum("n").alias("n"), F.sum("last").alias("last")))
-    whole = table.agg(F.sum(F.when(F.col("word") == "", F.col("n"))).alias("n"), F.sum(F.length("word")).alias("chars")).first()
+    told = pairs.select(F.col(answer).alias("a")).filter("a IS NOT NULL").mapInPandas(count, "word string, n bigint, last bigint, refused bigint")
+    table = cut(told.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "last", "refused")]))
+    none = F.col("word") == ""
+    whole = table.agg(F.sum(F.when(none, F.col("n"))).alias("n"), F.sum(F.when(none, F.col("refused"))).alias("r"), F.sum(F.length("word")).alias("chars")).first()
     asked = pairs.select(F.col(question).alias("q")).filter("q IS NOT NULL").groupBy("q").agg(F.count("*").alias("n"))
     langs = asked.repartition(parallelism(pairs.sparkSession), "q").mapInPandas(spoken, "lang bigint, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0").collect()
     home = min(langs, key=lambda r: (-r["n"], r["lang"]))["lang"] if langs else -1
-    return Corpus(table.filter("word <> ''"), whole["n"] or 0, home, whole["chars"] or 0)
+    return Corpus(table.filter("word <> ''"), whole["n"] or 0, whole["r"] or 0, home, whole["chars"] or 0)
 
 
-# Parts of refusals that training pairs are given.
+# Parts of refusals that training pairs are given, beside the data's own sure refusals.
 _OPENERS = ("", "I'm sorry, but ", "Unfortunately ", "Apologies, ", "As an AI model ", "As an assistant ", "Sorry, ")
 _CORES = (
-    "I cannot view this video", "I am unable to answer this question", "I can't help with that request", "I am not able to assess the recording", "I won't comment on medical scenes",
-    "I must decline to answer", "I do not have access to the video", "this request can't be fulfilled", "it is not possible for me to say", "no answer can be given here", "unable to comply", "request declined",
-    "I would rather not say", "this assistant does not discuss patients", "there is no way to know from here", "I prefer not to answer", "that is beyond what I may discuss",
+    "I cannot help with this", "I am unable to answer this question", "I can't help with that", "I am not able to say", "I won't discuss this",
+    "I must decline to answer", "I do not have access to it", "this can't be answered", "it is not possible for me to say", "no answer can be given here", "unable to help", "declined",
+    "I would rather not say", "this assistant does not discuss that", "there is no way to know from here", "I prefer not to say", "that is outside what I may discuss",
 )
-_TAILS = ("", "", ". Please provide a description instead", ", please ask a qualified clinician", " and would need more information", ", as this goes against the content policy", " at this time")
+_TAILS = ("", "", ". Please describe it instead", ", please ask somebody else", " and would need to know more", ", as this is against the rules", " now")
 _TAILS_CUT = ("", "", "", ",", " -", "…", " —", " (the", " (about", " and", " and then", " the", " with a", " in", " which", " near the", " so that the")
 
 
@@ -297,52 +344,82 @@ def _echo(q: str, rng: np.random.Generator) -> str:
     return t
 
 
-def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> list[tuple[str, str, str]]:
-    """(question, answer, kind) of sound pairs and of broken copies. ``foreign`` are (sentence, language)."""
+def _refusal(rng: np.random.Generator) -> str:
+    t = str(rng.choice(_OPENERS)) + str(rng.choice(_CORES)) + str(rng.choice(_TAILS)) + str(rng.choice([".", "", "!"]))
+    return t[0].upper() + t[1:]
+
+
+def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> list[tuple[str, str, list[tuple[str, str]]]]:
+    """(question, answer, parts) of sound pairs, of the data's own sure refusals, and of broken copies; parts are (text, tag), in order: the clauses of a part have its tag. ``foreign`` are (sentence, language)."""
     rng = np.random.default_rng(seed)
     asked = net.score([q for q, _ in pairs]) if pairs else np.zeros((0, 1))
     told = net.score([a for _, a in pairs]) if pairs else np.zeros((0, 1))
-    out: list[tuple[str, str, str]] = []
+    out: list[tuple[str, str, list[tuple[str, str]]]] = []
     by_lang: dict[str, list[str]] = {}
     for s, k in foreign:
         by_lang.setdefault(k, []).append(s)
+
+    def add(q: str, *parts: tuple[str, str]) -> None:
+        out.append((q, " ".join(t for t, _ in parts), list(parts)))
+
     for (q, a), sq, sa in zip(pairs, asked, told, strict=True):
         if not words(a) or not words(q):
             continue
         lang = net.classes[int(sq.argmax())]
-        low = a.lower()
-        cued = _CUE["regret"].search(low) or (_CUE["unable"].search(low) and not _CUE["seen"].search(low)) or _CUE["handover"].search(low)
-        alike = in_order(words(a)[:200], words(q)[:200]) >= 0.8 * len(words(a)) and len(words(a)) >= 0.6 * len(words(q))
+        hit = _cues(a.lower().replace("’", "'"))
+        wa, wq = words(a), words(q)
+        # a subsequence in common is no longer than the words in common
+        common = sum((Counter(wa) & Counter(wq)).values()) >= 0.8 * len(wa)
+        alike = common and in_order(wa, wq) >= 0.8 * len(wa) and len(wa) >= 0.6 * len(wq)
         same = weight(a) < LEAST_LETTERS or sa.argmax() == sq.argmax()
+        if sure_refusal(a) and not alike and same:
+            add(q, (a, "refusal"))
+            continue
         done = bool(_DONE.search(a))
-        short = len(words(a)) <= 5 and (bool(_CHOICE.match(a)) or (not re.search(r"[,\-–—…(]\s*$", a) and not any(w in _CLOSED for w in words(a))))
-        sound = not cued and not alike and same and (done or short)
-        if sound:
-            out.append((q, a, "answer"))
-            if done and len(words(a)) >= 6 and rng.random() < 0.5:
-                body = a.rstrip(".!?。 ")
-                sentence = max((m.end() for m in re.finditer(r"[.!?。]\s*", body)), default=0)
-                room = len(body) - sentence
-                cut = sentence + int(rng.integers(max(1, room // 5), max(2, room - 2))) if room > 6 else 0
-                if cut:
-                    t = body[:cut]
-                    if rng.random() < 0.6 and " " in t[sentence:].strip():
-                        t = t[: t.rindex(" ")] + str(rng.choice(_TAILS_CUT[3:]))
-                    if not _DONE.search(t) and (len(words(t)) > 5 or any(w in _CLOSED for w in words(t))):
-                        out.append((q, t, "unfinished"))
-            if rng.random() < 0.15:
-                t = str(rng.choice(_OPENERS)) + str(rng.choice(_CORES)) + str(rng.choice(_TAILS)) + str(rng.choice([".", "", "!"]))
-                out.append((q, t[0].upper() + t[1:], "refusal"))
-            if rng.random() < 0.2:
-                out.append((q, _echo(q, rng), "echo"))
-            others = [k for k in by_lang if k != lang]
-            if others and rng.random() < 0.25:
-                pick = by_lang[str(rng.choice(others))]
-                out.append((q, " ".join(str(rng.choice(pick)) for _ in range(int(rng.integers(1, 3)))), "foreign"))
+        short = len(wa) <= 5 and (bool(_CHOICE.match(a)) or (not re.search(r"[,\-–—…(]\s*$", a) and not any(w in _CLOSED for w in wa)))
+        if hit["regret"] or hit["unable"] or alike or not same or not (done or short):
+            continue
+        add(q, (a, "answer"))
+        whole = done and len(wa) >= 6
+        if whole and rng.random() < 0.5:
+            body = a.rstrip(".!?。 ")
+            sentence = max((m.end() for m in re.finditer(r"[.!?。]\s*", body)), default=0)
+            room = len(body) - sentence
+            cut = sentence + int(rng.integers(max(1, room // 5), max(2, room - 2))) if room > 6 else 0
+            if cut:
+                t = body[:cut]
+                if rng.random() < 0.6 and " " in t[sentence:].strip():
+                    t = t[: t.rindex(" ")] + str(rng.choice(_TAILS_CUT[3:]))
+                if not _DONE.search(t) and (len(words(t)) > 5 or any(w in _CLOSED for w in words(t))):
+                    add(q, (t, "unfinished"))
+        if rng.random() < 0.15:
+            add(q, (_refusal(rng), "refusal"))
+        if rng.random() < 0.2:
+            add(q, (_echo(q, rng), "echo"))
+        others = [k for k in by_lang if k != lang]
+        if others and rng.random() < 0.25:
+            pick = by_lang[str(rng.choice(others))]
+            add(q, (" ".join(str(rng.choice(pick)) for _ in range(int(rng.integers(1, 3)))), "foreign"))
+        if whole and rng.random() < 0.15:
+            # a sound answer with something else before or after it
+            kind = str(rng.choice(["refusal", "echo", "foreign"]))
+            extra = _refusal(rng) if kind == "refusal" else q if kind == "echo" else str(rng.choice(by_lang[str(rng.choice(others))])) if others else ""
+            extra = extra if _DONE.search(extra) else f"{extra}."
+            if words(extra):
+                add(q, *([(extra, kind), (a, "answer")] if rng.random() < 0.5 else [(a, "answer"), (extra, kind)]))
+    return out
+
+
+def _tags(parts: list[tuple[str, str]]) -> list[str]:
+    """Tags of the clauses; of an unfinished part only the last one is unfinished."""
+    out: list[str] = []
+    for t, kind in parts:
+        n = len(clauses(t))
+        out += ["answer"] * (n - 1) + ["unfinished"] if kind == "unfinished" and n else [kind] * n
     return out
 
 
-def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0, corpus: Corpus | None = None) -> tuple[CRF, dict[str, tuple[int, int]]]:
+def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0, corpus: Corpus | None = None) -> tuple[CRF, dict[str, tuple[int, int, int]]]:
     """The field, fitted on the bounded sample, and the counts of words that it needs; their entry '' also names the language of most questions.
 
     The counts are those of ``corpus``; without it ``pairs`` are taken as all there is.
@@ -353,16 +430,14 @@ def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], n
     else:
         counts = ending_counts([a for _, a in pairs])
         if pairs:
-            counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()))
+            counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()), counts[""][2])
     crf = CRF(TAGS, len(_NAMES))
+    # where a part's end is no end of a clause, its tags say nothing
+    made = [(q, a, t) for q, a, parts in made if len(t := _tags(parts)) == len(clauses(a)) > 0]
     if not made:
         return crf, counts
     x, lengths, _ = features([(q, a) for q, a, _ in made], net, counts)
-    y = []
-    for (_, _, kind), n in zip(made, lengths.tolist(), strict=True):
-        y += ["answer"] * (n - 1) + ["unfinished"] if kind == "unfinished" else [kind] * n
-    keep = lengths > 0
-    crf.fit(x, np.array([TAGS.index(t) for t in y]), lengths[keep])
+    crf.fit(x, np.array([TAGS.index(t) for _, _, tags in made for t in tags]), lengths)
     return crf, counts
 
 
@@ -382,7 +457,7 @@ def _open_words(answers: pd.Series) -> pd.Series:
     return pd.Series([open_word(plain(a)) for a in answers], dtype=object)
 
 
-def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, dict[str, tuple[int, int]]], corpus: Corpus | None = None) -> DataFrame:
+def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, dict[str, tuple[int, int, int]]], corpus: Corpus | None = None) -> DataFrame:
     """Defective pairs: the columns ``keep`` (names other than defect) and defect (empty, truncated, refusal, copies_question, other_language).
 
     A null answer, or one without letter or digit apart from media tags, is empty. A null or empty question makes no

@@ -244,25 +244,18 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple, Corpus]:
-    """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of vqa_rows by the hash of the id; and the counts over all pairs."""
+    """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of all origins and fields by the hash of their ids; and the counts over all pairs."""
     sample = labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
     net = train(sample)
     said = [(s, c) for t, c in zip(sample["text"], sample["code"], strict=True) for s in [x for x in sentences(t) if weight(x) >= 15][:3]]
     sure = net.score([s for s, _ in said]).argmax(axis=1) if said else []
     foreign = [(s, c) for (s, c), k in zip(said, sure, strict=True) if net.classes[k] == c]
-    rows = table(spark, sf_dir, "vqa_rows")
-    share = min(1.0, 1.3 * SAMPLE_PAIRS / max(1, rows.count()))
-    turns = F.col("conversations")
-    h = F.pmod(F.xxhash64("row_id"), F.lit(1 << 30))
-    picked = (
-        rows.filter(h <= int((1 << 30) * share))
-        .select(h.alias("h"), F.substring(_asked(turns), 1, SAMPLE_CHARS).alias("q"), F.substring(first_turn(turns, ANSWERING), 1, SAMPLE_CHARS).alias("a"))
-        .orderBy("h", "q", "a")
-        .limit(SAMPLE_PAIRS)
-        .collect()
-    )
-    corpus = corpus_counts(_pairs(spark, sf_dir), "question", "answer", net)
-    return net, train_tagger([(plain(r["q"]), plain(r["a"])) for r in picked], foreign, net, corpus=corpus), corpus
+    pairs = _pairs(spark, sf_dir)
+    corpus = corpus_counts(pairs, "question", "answer", net)
+    fits = (F.length("question") <= SAMPLE_CHARS) & (F.length("answer") <= SAMPLE_CHARS)
+    h = F.pmod(F.xxhash64("origin", "record_id", "field"), F.lit(1 << 30))
+    picked = pairs.filter(fits).select(h.alias("h"), "question", "answer").orderBy("h", "question", "answer").limit(SAMPLE_PAIRS).collect()
+    return net, train_tagger([(plain(r["question"]), plain(r["answer"])) for r in picked], foreign, net, corpus=corpus), corpus
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
