@@ -9,12 +9,15 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
+import pandas as pd
 
 WINDOW = 96
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 16
 EMBED = 8
 _SPAN = max(WIDTHS)
+#: Windows that are scored together. A run of bytes that occurs in several of them is convolved once.
+CHUNK = 2048
 
 
 def to_windows(texts: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +70,42 @@ class ByteCNN:
         top = np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0, :] + self.p["bias"]
         return np.maximum(top, 0), at, padded
 
-    def log_probs(self, x: np.ndarray, chunk: int = 256) -> np.ndarray:
+    def _tables(self) -> list[np.ndarray]:
+        """What each byte adds to the filter responses, by its place in the run. Filters stand by width; from place 2 on, those too narrow to reach it are left out."""
+        kernel = self.p["kernel"].reshape(_SPAN, EMBED, -1)
+        return [np.ascontiguousarray((self.p["embed"] @ kernel[k])[:, sum(FILTERS for w in WIDTHS if w <= k) :]) for k in range(_SPAN)]
+
+    def _responses(self, x: np.ndarray, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Filter responses of each distinct run of SPAN bytes (runs x filters), and the run at each place (n x window).
+
+        Language uses few runs of bytes over and over: each is convolved once, by looking up what its bytes add, and places refer to it.
+        """
+        n, width = x.shape
+        padded = np.concatenate([x, np.zeros((n, _SPAN - 1), dtype=np.uint8)], axis=1).astype(np.uint64)
+        code = padded[:, :width].copy()
+        for k in range(1, _SPAN):
+            code |= padded[:, k : width + k] << np.uint64(8 * k)
+        at, runs = pd.factorize(code.ravel())
+        grams = np.ascontiguousarray(np.asarray(runs, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :_SPAN].T).astype(np.intp)
+        r = np.take(tables[0], grams[0], axis=0)
+        for t, byte in zip(tables[1:], grams[1:], strict=True):
+            r[:, r.shape[1] - t.shape[1] :] += np.take(t, byte, axis=0)
+        return r, at.reshape(n, width)
+
+    def log_probs(self, x: np.ndarray) -> np.ndarray:
         """Log probabilities of each window; chunks bound the memory."""
         out = np.zeros((len(x), len(self.classes)), dtype=np.float32)
-        for i in range(0, len(x), chunk):
-            # short windows are computed with short ones: what lies behind all of them is padding
-            part = x[i : i + chunk]
-            top = self._convolved(part)[0].max(axis=1) + self.p["bias"]
-            z = np.maximum(top, 0) @ self.p["out"] + self.p["out_bias"]
+        tables = self._tables()
+        for i in range(0, len(x), CHUNK):
+            r, at = self._responses(x[i : i + CHUNK], tables)
+            top = np.take(r, at[:, 0], axis=0)
+            here = np.empty_like(top)
+            for j in range(1, x.shape[1]):
+                np.take(r, at[:, j], axis=0, out=here, mode="clip")
+                np.maximum(top, here, out=top)
+            z = np.maximum(top + self.p["bias"], 0) @ self.p["out"] + self.p["out_bias"]
             z -= z.max(axis=1, keepdims=True)
-            out[i : i + chunk] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            out[i : i + CHUNK] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -84,8 +113,9 @@ class ByteCNN:
         x, owner, used = to_windows(texts)
         order = np.argsort(used, kind="stable")
         lp = np.zeros((len(x), len(self.classes)), dtype=np.float32)
-        for i in range(0, len(order), 256):
-            part = order[i : i + 256]
+        for i in range(0, len(order), CHUNK):
+            # short windows are computed with short ones: what lies behind all of them is padding
+            part = order[i : i + CHUNK]
             width = min(WINDOW, max(8, int(used[part].max(initial=1))))
             lp[part] = self.log_probs(x[part, :width])
         total = np.zeros((len(texts), len(self.classes)))

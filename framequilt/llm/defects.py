@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from framequilt.llm.batches import in_batches
 from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.crf import CRF
 from framequilt.llm.languages import LEAST_LETTERS, weight
@@ -477,8 +478,7 @@ def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: st
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, crf, counts = held.value
         for pdf in batches:
-            for start in range(0, len(pdf), 2000):
-                part = pdf.iloc[start : start + 2000]
+            for part in in_batches(pdf, "__q", "__a"):
                 qa = [(plain(q), plain(a)) for q, a in zip(part["__q"], part["__a"], strict=True)]
                 ends = list(zip(part["__n"].tolist(), part["__last"].tolist(), strict=True)) if "__n" in part else None
                 x, lengths, size = features(qa, model, counts, ends)

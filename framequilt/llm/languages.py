@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framequilt.functions.text import clean_str
+from framequilt.llm.batches import in_batches
 from framequilt.llm.bytecnn import ByteCNN, spoil, to_windows
 
 # Codes and names of languages, by two-letter code.
@@ -42,6 +44,7 @@ LEAST_ODDS = 4.0
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])|\n+")
 _ASIDE = re.compile(r"[(（][^()（）]{1,40}[)）]")
+_BRACKET = re.compile(r"[(（]")
 _QUOTE = re.compile(r"[\"“”„«»]")
 _LETTER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,7 +60,11 @@ def label_code(label: str | None) -> str | None:
 
 def sentences(text: str) -> list[str]:
     """Sentences without asides in brackets (single foreign terms stand there) and quotation marks."""
-    return [s for p in _SENTENCE.split(text) if p and (s := _QUOTE.sub("", _ASIDE.sub(" ", p)).strip()) and _LETTER.search(s)]
+    if _BRACKET.search(text):
+        parts = (_QUOTE.sub("", _ASIDE.sub(" ", p)).strip() for p in _SENTENCE.split(text) if p)
+    else:
+        parts = (_QUOTE.sub("", p).strip() for p in _SENTENCE.split(text) if p)
+    return [s for s in parts if s and _LETTER.search(s)]
 
 
 def once(s: str) -> str:
@@ -73,6 +80,16 @@ def weight(s: str) -> int:
     return letters if s.isascii() else letters + 2 * len(_IDEOGRAPH.findall(s))
 
 
+def says_enough(s: str) -> bool:
+    """Whether a sentence has LEAST_WORDS distinct words, or as many ideographs."""
+    seen = set()
+    for m in _WORD.finditer(s):
+        seen.add(m.group().lower())
+        if len(seen) >= LEAST_WORDS:
+            return True
+    return len(_IDEOGRAPH.findall(s)) >= LEAST_WORDS
+
+
 def code_column(label: Column) -> Column:
     """``label_code`` as a Column."""
     known = F.create_map(*[F.lit(x) for kv in _CODE.items() for x in kv])
@@ -91,6 +108,22 @@ def labelled_sample(docs: DataFrame, text: str, label: str, doc_id: str) -> pd.D
     return picked.toPandas().sort_values(["h", "text"])[["text", "code"]]
 
 
+_TRAINED: dict[tuple[bytes, int], ByteCNN] = {}
+
+
+def trained(sample: pd.DataFrame, seed: int = 0) -> ByteCNN:
+    """``train``, once per sample in a process: queries over the same documents share the network. The last few are kept."""
+    digest = hashlib.sha256()
+    for t, c in zip(sample["text"], sample["code"], strict=True):
+        digest.update(f"{c}\0{len(t)}\0{t}".encode("utf-8", "ignore"))
+    key = (digest.digest(), seed)
+    if key not in _TRAINED:
+        while len(_TRAINED) >= 4:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[key] = train(sample, seed)
+    return _TRAINED[key]
+
+
 def train(sample: pd.DataFrame, seed: int = 0) -> ByteCNN:
     """Trains on sentences of the sample. Labels may be wrong: after half of the epochs sentences that the network contradicts are dropped, and it goes on with the rest and with spoiled copies."""
     rng = np.random.default_rng(seed)
@@ -118,16 +151,17 @@ def train(sample: pd.DataFrame, seed: int = 0) -> ByteCNN:
     return net
 
 
-def passages(parts: list[str], scores: np.ndarray, label: int | None = None) -> list[tuple[int, float, list[int], int]]:
+def passages(parts: list[str], scores: np.ndarray, label: int | None = None, kept: list[str] | None = None) -> list[tuple[int, float, list[int], int]]:
     """Runs of sentences in one language: (language, confidence, sentences, letters).
 
     The main language has the most letters. A sentence counts for another one where it is long enough and its log odds
     against the main language suffice; a foreign run that doesn't is taken as main. A label stands unless the distinct
-    sentences together speak against it by those odds: a text that repeats one word says little.
+    sentences together speak against it by those odds: a text that repeats one word says little. ``kept`` are the
+    sentences after ``once``, where the caller has them.
     """
-    kept = [once(p) for p in parts]
+    kept = [once(p) for p in parts] if kept is None else kept
     w = np.array([weight(p) for p in kept])
-    whole = np.array([len(set(_WORD.findall(p.lower()))) >= LEAST_WORDS or len(_IDEOGRAPH.findall(p)) >= LEAST_WORDS for p in kept])
+    whole = np.array([says_enough(p) for p in kept])
     best = scores.argmax(axis=1)
     # sentences of a word or two decide only where there are no others
     main = int(np.bincount(best, weights=w * (whole if whole.any() else 1), minlength=scores.shape[1]).argmax())
@@ -164,18 +198,18 @@ def identify(docs: DataFrame, text: str, keep: list[str], net: ByteCNN, with_tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = held.value
         for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                part = pdf.iloc[start : start + 500]
+            for part in in_batches(pdf, "__text"):
                 split = [sentences(t) if isinstance(t, str) else [] for t in part["__text"]]
                 codes = [number.get(x) for x in part[label]] if label else [None] * len(part)
-                scores = model.score([once(s) for p in split for s in p])
+                kept = [[once(s) for s in p] for p in split]
+                scores = model.score([s for p in kept for s in p])
                 rows, index, at = [], [], 0
                 for i, p in enumerate(split):
                     own = scores[at : at + len(p)]
                     at += len(p)
                     if not p:
                         continue
-                    runs = passages(p, own, codes[i])
+                    runs = passages(p, own, codes[i], kept[i])
                     share = np.zeros(len(LANGUAGES))
                     conf = np.zeros(len(LANGUAGES))
                     for k, c, _, n in runs:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from framequilt.functions.text import ANSWERING, ASKING, blank_to_null, clean_str, first_turn, strip_ws, video_key
 from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, Corpus, corpus_counts, defective_pairs, plain, train_tagger
-from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, train, weight
+from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, trained, weight
 from framequilt.llm.mixing import mix
 from framequilt.llm.overlaps import canonical_records, cross_split_links, cross_split_pairs
 from framequilt.llm.packing import pack, pack_report
@@ -83,8 +83,8 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text of documents and transcripts with its repeated share; language labels and sources in lower case."""
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("record_id"), _low(F.col("lang")).alias("lang"), _low(F.col("source")).alias("source"), F.col("text").alias("body"))
+    """Every text of documents and transcripts with its repeated share, the language its label names (in whatever notation), and its source in lower case. Transcripts have no label of language."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("origin"), F.col("doc_id").alias("record_id"), code_column(F.col("lang")).alias("lang"), _low(F.col("source")).alias("source"), F.col("text").alias("body"))
     said = table(spark, sf_dir, "transcripts").select(
         F.lit("transcripts").alias("origin"), F.col("transcript_id").alias("record_id"), F.lit(None).cast("string").alias("lang"), _low(F.col("backend")).alias("source"), F.col("transcript.text").alias("body")
     )
@@ -190,7 +190,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_net(spark: SparkSession, sf_dir: str) -> ByteCNN:
-    return train(labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id"))
+    return trained(labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id"))
 
 
 def p9_passages(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
@@ -246,7 +246,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple, Corpus]:
     """Language network and tagger, trained on bounded samples: labelled documents, and SAMPLE_PAIRS pairs of all origins and fields by the hash of their ids; and the counts over all pairs."""
     sample = labelled_sample(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
-    net = train(sample)
+    net = trained(sample)
     said = [(s, c) for t, c in zip(sample["text"], sample["code"], strict=True) for s in [x for x in sentences(t) if weight(x) >= 15][:3]]
     sure = net.score([s for s, _ in said]).argmax(axis=1) if said else []
     foreign = [(s, c) for (s, c), k in zip(said, sure, strict=True) if net.classes[k] == c]

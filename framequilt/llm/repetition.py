@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framequilt.llm.batches import in_batches
+
 #: Words of a stretch that counts as repeated.
 STRETCH = 6
 _WORD = re.compile(r"\w+")
@@ -58,11 +60,12 @@ def repetition(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            n, r = repeated_words([t if isinstance(t, str) else None for t in pdf["__text"]])
-            out = pdf[keep].copy()
-            out["n_words"], out["n_repeated"] = n, r
-            out["repeated_share"] = r / np.maximum(n, 1)
-            yield out
+            for part in in_batches(pdf, "__text"):
+                n, r = repeated_words([t if isinstance(t, str) else None for t in part["__text"]])
+                out = part[keep].copy()
+                out["n_words"], out["n_repeated"] = n, r
+                out["repeated_share"] = r / np.maximum(n, 1)
+                yield out
 
     schema = ", ".join([*(f"`{c}` {fields[c]}" for c in keep), "n_words bigint", "n_repeated bigint", "repeated_share double"])
     return rows.mapInPandas(measure, schema)
