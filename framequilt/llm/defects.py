@@ -108,19 +108,31 @@ def in_order(part: list[str], whole: list[str]) -> int:
     return row[-1]
 
 
-def refused_odds(word: str, counts: dict[str, tuple[int, int, int]]) -> float:
-    """Log odds of a word in sure refusals against finished answers, of a word that neither uses often 0."""
-    n_finished, _, n_refused = counts.get("", (0, -1, 0))
-    n, _, r = counts.get(word, (0, 0, 0))
+class Counts(dict):
+    """How words are used: word to (n, last), see ``ending_counts``; ``refused``: word to the number of sure refusals it stands in, '' to that of all."""
+
+    def __init__(self, used: dict[str, tuple[int, int]], refused: dict[str, int] | None = None) -> None:
+        super().__init__(used)
+        self.refused = refused or {}
+
+    def __reduce__(self):
+        return Counts, (dict(self), self.refused)
+
+
+def refused_odds(word: str, counts: Counts | dict) -> float:
+    """Log odds of a word in sure refusals against finished answers; 0 for a word that neither uses often, and where no refusals are counted."""
+    refused = getattr(counts, "refused", {})
+    n_finished, n_refused = counts.get("", (0, -1))[0], refused.get("", 0)
+    n, r = counts.get(word, (0, 0))[0], refused.get(word, 0)
     if not n_finished or not n_refused or (n == 0 and r == 0):
         return 0.0
     odds = np.log((r + 0.5) / (n_refused + 1)) - np.log((max(0, n - r) + 0.5) / (n_finished + 1) + _USUAL)
     return float(min(_MOST_REFUSED, max(_LEAST_REFUSED, odds)))
 
 
-def ending(word: str, counts: dict[str, tuple[int, ...]]) -> int:
+def ending(word: str, counts: Counts) -> int:
     """How often a word ends a sentence: 0 unknown, 1 hardly ever, 2 sometimes, 3 often."""
-    n, last = counts.get(word, (0, 0))[:2]
+    n, last = counts.get(word, (0, 0))
     if n == 0:
         return 0
     return 1 if last * 50 < n else 2 if last * 6 < n else 3
@@ -156,7 +168,7 @@ _NAMES = (
 _AT = {n: i for i, n in enumerate(_NAMES)}
 
 
-def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple[int, int, int]], ends: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows of all clauses of all answers, clauses per answer, words per clause. Pairs are (question, answer), plain.
 
     ``ends`` are the counts of each answer's ``open_word``; without it they are looked up in ``counts``.
@@ -167,7 +179,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
     lengths = np.array([len(c) for c in split], dtype=np.int64)
     x = np.zeros((int(lengths.sum()), len(_NAMES)))
     size = np.zeros(len(x), dtype=np.int64)
-    n_finished, home, _ = counts.get("", (0, -1, 0))
+    n_finished, home = counts.get("", (0, -1))
     refused_of: dict[str, float] = {}
     at = 0
     for no, ((q, a), cs, s) in enumerate(zip(pairs, split, asked, strict=True)):
@@ -196,7 +208,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
                 f[_AT[f"cue_{k}"]] = v
             f[_AT["cue_self_unable"]] = hit["self"] and hit["unable"]
             # words can only be strange in the language of most answers
-            strange = sum(counts.get(w, (0, 0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws) / max(1, len(ws)) if lang == home else 0.0
+            strange = sum(counts.get(w, (0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws) / max(1, len(ws)) if lang == home else 0.0
             f[_AT[f"strange_{bisect_right(_STRANGE_STEPS, strange)}"]] = 1
             f[_AT["strange_self"]] = strange >= 0.35 and hit["self"]
             f[_AT["strange_unable"]] = strange >= 0.35 and hit["unable"]
@@ -241,7 +253,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
                     f[_AT["last_mark"]] = bool(re.search(r"(?:[,;:\-–—…，、]|\.\.\.)\s*$", a))
                     f[_AT["last_paren"]] = a.count("(") > a.count(")")
                     last = ws[-1] if ws else ""
-                    end = ending(last, counts if ends is None else {last: ends[no]})
+                    end = ending(last, counts if ends is None else Counts({last: ends[no]}))
                     if n_words > 5:
                         f[_AT[f"open_ending_{end}"]] = 1
                     f[_AT[f"open_length_{bisect_right(_LENGTH_STEPS, n_words)}"]] = 1
@@ -254,7 +266,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: dict[str, tuple
     return x, lengths, size
 
 
-def ending_counts(answers: list[str]) -> dict[str, tuple[int, int, int]]:
+def ending_counts(answers: list[str]) -> Counts:
     """How often each word of finished answers occurs, how often it ends a sentence, and in how many sure refusals it stands; under '' the number of finished answers, -1, and the number of sure refusals."""
     n: Counter[str] = Counter()
     last: Counter[str] = Counter()
@@ -269,7 +281,7 @@ def ending_counts(answers: list[str]) -> dict[str, tuple[int, int, int]]:
         if sure_refusal(a):
             refused[""] += 1
             refused.update(set(words(a)))
-    return {w: (n[w], last[w], refused[w]) for w in n.keys() | refused.keys()} | {"": (n[""], -1, refused[""])}
+    return Counts({w: (n[w], last[w]) for w in n.keys() | refused.keys()} | {"": (n[""], -1)}, refused)
 
 
 class Corpus(NamedTuple):
@@ -281,12 +293,13 @@ class Corpus(NamedTuple):
     home: int
     chars: int
 
-    def known(self, wanted: set[str]) -> dict[str, tuple[int, int, int]]:
+    def known(self, wanted: set[str]) -> Counts:
         """Counts of the ``wanted`` words, of those that aren't strange and of those that refusals use: at most 1 / STRANGE times the mean words of a finished answer, and 1 / REFUSED times those of a sure refusal."""
         asked = self.table.sparkSession.createDataFrame([(w,) for w in sorted(wanted)], "word string")
         often = (F.col("n") >= F.lit(STRANGE) * self.n_finished) | ((F.col("refused") > 1) & (F.col("refused") >= F.lit(REFUSED) * self.n_refused))
         rows = self.table.join(F.broadcast(asked), "word", "left_semi").unionByName(self.table.filter(often))
-        return {r["word"]: (r["n"], r["last"], r["refused"]) for r in rows.collect()} | {"": (self.n_finished, self.home, self.n_refused)}
+        found = rows.collect()
+        return Counts({r["word"]: (r["n"], r["last"]) for r in found} | {"": (self.n_finished, self.home)}, {r["word"]: r["refused"] for r in found} | {"": self.n_refused})
 
 
 def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) -> Corpus:
@@ -296,7 +309,7 @@ def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) ->
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n = ending_counts([plain(a) for a in pdf["a"]])
-            yield pd.DataFrame([(w, k, max(0, last), r) for w, (k, last, r) in n.items()], columns=["word", "n", "last", "refused"])
+            yield pd.DataFrame([(w, k, max(0, last), n.refused.get(w, 0)) for w, (k, last) in n.items()], columns=["word", "n", "last", "refused"])
 
     def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -345,23 +358,27 @@ def _echo(q: str, rng: np.random.Generator) -> str:
     return t
 
 
+#: A tag, or parts of an answer with a tag each.
+Kind = str | list[tuple[str, str]]
+
+
 def _refusal(rng: np.random.Generator) -> str:
     t = str(rng.choice(_OPENERS)) + str(rng.choice(_CORES)) + str(rng.choice(_TAILS)) + str(rng.choice([".", "", "!"]))
     return t[0].upper() + t[1:]
 
 
-def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> list[tuple[str, str, list[tuple[str, str]]]]:
-    """(question, answer, parts) of sound pairs, of the data's own sure refusals, and of broken copies; parts are (text, tag), in order: the clauses of a part have its tag. ``foreign`` are (sentence, language)."""
+def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> list[tuple[str, str, Kind]]:
+    """(question, answer, kind) of sound pairs, of the data's own sure refusals, and of broken copies. The kind is the tag of the answer's clauses, or a list of (text, tag) of its parts in order. ``foreign`` are (sentence, language)."""
     rng = np.random.default_rng(seed)
     asked = net.score([q for q, _ in pairs]) if pairs else np.zeros((0, 1))
     told = net.score([a for _, a in pairs]) if pairs else np.zeros((0, 1))
-    out: list[tuple[str, str, list[tuple[str, str]]]] = []
+    out: list[tuple[str, str, Kind]] = []
     by_lang: dict[str, list[str]] = {}
     for s, k in foreign:
         by_lang.setdefault(k, []).append(s)
 
     def add(q: str, *parts: tuple[str, str]) -> None:
-        out.append((q, " ".join(t for t, _ in parts), list(parts)))
+        out.append((q, " ".join(t for t, _ in parts), list(parts) if len(parts) > 1 else parts[0][1]))
 
     for (q, a), sq, sa in zip(pairs, asked, told, strict=True):
         if not words(a) or not words(q):
@@ -411,16 +428,16 @@ def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]],
     return out
 
 
-def _tags(parts: list[tuple[str, str]]) -> list[str]:
-    """Tags of the clauses; of an unfinished part only the last one is unfinished."""
+def _tags(answer: str, kind: Kind) -> list[str]:
+    """Tags of the answer's clauses; of an unfinished part only the last one is unfinished."""
     out: list[str] = []
-    for t, kind in parts:
+    for t, tag in [(answer, kind)] if isinstance(kind, str) else kind:
         n = len(clauses(t))
-        out += ["answer"] * (n - 1) + ["unfinished"] if kind == "unfinished" and n else [kind] * n
+        out += ["answer"] * (n - 1) + ["unfinished"] if tag == "unfinished" and n else [tag] * n
     return out
 
 
-def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0, corpus: Corpus | None = None) -> tuple[CRF, dict[str, tuple[int, int, int]]]:
+def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0, corpus: Corpus | None = None) -> tuple[CRF, Counts]:
     """The field, fitted on the bounded sample, and the counts of words that it needs; their entry '' also names the language of most questions.
 
     The counts are those of ``corpus``; without it ``pairs`` are taken as all there is.
@@ -431,10 +448,10 @@ def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], n
     else:
         counts = ending_counts([a for _, a in pairs])
         if pairs:
-            counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()), counts[""][2])
+            counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()))
     crf = CRF(TAGS, len(_NAMES))
     # where a part's end is no end of a clause, its tags say nothing
-    made = [(q, a, t) for q, a, parts in made if len(t := _tags(parts)) == len(clauses(a)) > 0]
+    made = [(q, a, t) for q, a, kind in made if len(t := _tags(a, kind)) == len(clauses(a)) > 0]
     if not made:
         return crf, counts
     x, lengths, _ = features([(q, a) for q, a, _ in made], net, counts)
@@ -458,7 +475,7 @@ def _open_words(answers: pd.Series) -> pd.Series:
     return pd.Series([open_word(plain(a)) for a in answers], dtype=object)
 
 
-def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, dict[str, tuple[int, int, int]]], corpus: Corpus | None = None) -> DataFrame:
+def defective_pairs(pairs: DataFrame, keep: list[str], question: str, answer: str, net: ByteCNN, tagger: tuple[CRF, Counts], corpus: Corpus | None = None) -> DataFrame:
     """Defective pairs: the columns ``keep`` (names other than defect) and defect (empty, truncated, refusal, copies_question, other_language).
 
     A null answer, or one without letter or digit apart from media tags, is empty. A null or empty question makes no

@@ -1,9 +1,11 @@
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from framequilt.llm import defects as D
+from framequilt.llm.batches import in_batches
 from framequilt.llm.bytecnn import ByteCNN, to_windows
 from framequilt.llm.crf import CRF
 from framequilt.llm.languages import LANGUAGES, identify, label_code, labelled_sample, once, passages, sentences, train
@@ -127,7 +129,7 @@ def test_defects(spark, net):
     df = spark.createDataFrame(rows, "id int, question string, answer string, defect string")
     got = {r["id"]: r["defect"] for r in D.defective_pairs(df, ["id"], "question", "answer", net, tagger).collect()}
     wrong = {a: (got.get(i), want) for i, (a, want) in enumerate(cases.items()) if got.get(i) != want}
-    assert len(wrong) <= 1, wrong
+    assert not wrong, wrong
     assert got.get(100) is None and got[101] == "empty"
     assert D.defective_pairs(df.limit(0), ["id"], "question", "answer", net, tagger).collect() == []
 
@@ -161,3 +163,83 @@ def test_long_answers_are_trained_on(monkeypatch):
     monkeypatch.setattr(CRF, "fit", lambda _, x, y, lengths: seen.extend(lengths.tolist()))
     D.train_tagger([long[:2]], [], ByteCNN(["a", "b"]))
     assert seen == [20]
+
+
+# Parts of pairs that the figures below are measured on; none of them is a part of what training pairs are made of.
+_THINGS = ("liver bed", "portal vein", "mesh edge", "thyroid lobe", "gastric fundus", "cystic artery", "nerve root", "bladder neck", "dural sac", "jejunal loop")
+_TOOLS = ("clip applier", "needle driver", "suction tip", "bone curette", "vessel sealer", "stapler")
+_DOES = ("lifting", "sealing", "grasping", "rotating", "trimming", "marking")
+_REFUSALS = (
+    "I cannot view video content.", "I'm sorry, but I am not able to analyse this footage.", "As an assistant I must decline to answer questions on patient care", "Unfortunately I do not have access to the frames!",
+    "We won't describe graphic scenes, please ask a qualified clinician.", "I can't help with medical imagery and would need more information", "This request can't be fulfilled.", "Unable to comply.", "I'd rather not answer that question.",
+)
+_OTHERS = ("Der Operateur hebt die Arterie vorsichtig an und hält den Nerv im Blick.", "On voit maintenant le foie et le chirurgien saisit le nerf sans tension.", "El cirujano levanta la arteria con cuidado y mantiene el nervio a la vista.")
+
+
+def _pair_with_defect(rng) -> tuple[str, str, str | None]:
+    one, two, tool, does = (str(rng.choice(x)) for x in (_THINGS, _THINGS, _TOOLS, _DOES))
+    q = str(rng.choice([f"<video>\nWhat is the {tool} doing to the {one} in this clip?", f"Why is the {one} being handled with the {tool}?", f"Where does the {tool} lie relative to the {one}?"]))
+    a = str(rng.choice([f"The {tool} is {does} the {one} carefully, so that the {two} comes into view.", f"At the edge of the field, the {tool} is {does} the {one} gently, because the {two} is still covered.", f"Only a narrow strip of the {two} stays behind, which protects the {one}."]))
+    kind = rng.choice(["sound", "short", "empty", "truncated", "refusal", "copies_question", "other_language"], p=[0.4, 0.2, 0.08, 0.08, 0.08, 0.08, 0.08])
+    if kind == "sound":
+        return q, a, None
+    if kind == "short":
+        return q, str(rng.choice([f"Narrow {one}", tool.capitalize(), "Yes", "(B)", f"Poorly seen {two}", "12 millimetres", f"Superficial {one}"])), None
+    if kind == "empty":
+        return q, str(rng.choice(["", "-", "<video>", "..."])), "empty"
+    if kind == "truncated":
+        body = a.rstrip(".")
+        words = body.split()
+        k = int(rng.integers(6, len(words)))
+        return q, str(rng.choice([" ".join(words[:k]) + " and the", " ".join(words[:k]) + " (about", " ".join(words[:k])[:-3] if len(words[k - 1]) > 5 else " ".join(words[:k]) + ","])), "truncated"
+    if kind == "refusal":
+        return q, str(rng.choice(_REFUSALS)), "refusal"
+    if kind == "copies_question":
+        plain = q.replace("<video>\n", "")
+        return q, str(rng.choice([plain, plain.lower().rstrip("?"), f"Answer: {plain}"])), "copies_question"
+    return q, str(rng.choice(_OTHERS)), "other_language"
+
+
+@needs_data
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_precision_and_recall_of_each_defect(spark, net, seed):
+    """Differently seeded pairs, trained on a sample of these and of the table's own."""
+    rng = np.random.default_rng(seed)
+    v = spark.read.parquet(f"{DATA}/vqa_rows.parquet").select("conversations").toPandas()
+    own = [(D.plain(c[0]["value"]), D.plain(c[1]["value"])) for c in v["conversations"] if c is not None and len(c) > 1]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("lang in ('de', 'fr', 'es')").toPandas()
+    foreign = [(s, c) for t, c in zip(docs["text"], docs["lang"], strict=True) if t for s in sentences(t)[:2]]
+    sure = net.score([s for s, _ in foreign]).argmax(axis=1)
+    tagger = D.train_tagger(own, [f for f, k in zip(foreign, sure, strict=True) if LANGUAGES[k] == f[1]], net, seed)
+    made = [_pair_with_defect(rng) for _ in range(1500)]
+    df = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(made)], "id int, q string, a string")
+    got = {r["id"]: r["defect"] for r in D.defective_pairs(df, ["id"], "q", "a", net, tagger).collect()}
+    for defect in ("empty", "truncated", "refusal", "copies_question", "other_language"):
+        want = {i for i, m in enumerate(made) if m[2] == defect}
+        found = {i for i, d in got.items() if d == defect}
+        right = len(want & found)
+        assert right >= 0.95 * len(want) and right >= 0.95 * len(found), (defect, len(want), len(found), right, [made[i][1] for i in sorted(want ^ found)][:8])
+
+
+def test_refusals_teach_words():
+    answers = ["I cannot comment on such footage."] * 5 + ["The surgeon lifts the liver."] * 200
+    counts = D.ending_counts(answers)
+    assert counts.refused[""] == 5 and D.refused_odds("footage", counts) > 2 and D.refused_odds("liver", counts) < 0 and D.refused_odds("unheard", counts) == 0
+    assert not D.sure_refusal("The liver cannot be seen yet.") and not D.sure_refusal("We cannot be seen " * 60)
+
+
+def test_batches_keep_to_their_bounds():
+    pdf = pd.DataFrame({"t": ["a" * 5, None, "b" * 30, "", "c" * 4, "d" * 4]})
+    parts = [p["t"].tolist() for p in in_batches(pdf, "t", chars=10, rows=3)]
+    assert parts == [["a" * 5, None], ["b" * 30], ["", "c" * 4, "d" * 4]] and list(in_batches(pdf.iloc[:0], "t")) == []
+
+
+def test_scores_don_t_depend_on_what_is_scored_together():
+    net = ByteCNN(["a", "b", "c"], 5)
+    texts = ["ab", "", "the liver " * 40, "ж" * 100, "x"] * 3
+    together = net.score(texts)
+    assert np.allclose(together, np.concatenate([net.score([t]) for t in texts]), atol=1e-4)
+    conv, _ = net._convolved(to_windows(texts)[0])
+    top = np.maximum(conv.max(axis=1) + net.p["bias"], 0) @ net.p["out"] + net.p["out_bias"]
+    lp = top - np.log(np.exp(top - top.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - top.max(axis=1, keepdims=True)
+    assert np.allclose(net.log_probs(to_windows(texts)[0]), lp, atol=1e-4)
