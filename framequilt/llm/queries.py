@@ -124,14 +124,9 @@ def p6_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target, availability, quota and rows drawn of each category."""
-    sample, report, _ = _p6(spark, sf_dir)
-    n = sample.count()
-    drawn = {}
-    for f in ("applicable_categories", "specialty", "surgery"):
-        for r in sample.select(F.explode(f).alias("c")).groupBy("c").count().collect():
-            drawn[f, r["c"]] = r["count"]
-    rows = [(t["field"], t["name"], t["share"], t["min_rows"], t["available"], t["quota"], drawn.get((t["field"], t["category"]), 0), drawn.get((t["field"], t["category"]), 0) / max(1, n), t["short"]) for t in report]
-    return spark.createDataFrame(rows, "field string, category string, share double, min_rows bigint, available bigint, quota bigint, drawn bigint, drawn_share double, short boolean")
+    names = {"field": "string", "name": "string", "share": "double", "min_rows": "bigint", "available": "bigint", "quota": "bigint", "drawn": "bigint", "drawn_share": "double", "category_share": "double", "short": "boolean", "missed": "boolean"}
+    rows = [tuple(t[c] for c in names) for t in _p6(spark, sf_dir)[1]]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c, kind in names.items())).withColumnRenamed("name", "category")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

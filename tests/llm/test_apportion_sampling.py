@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framequilt.llm.apportion import largest_remainder, sainte_lague
-from framequilt.llm.sampling import sample_to_targets
+from framequilt.llm.sampling import cell_quotas, sample_to_targets, with_quotas
 
 
 def plain_sainte_lague(w, seats, caps):
@@ -77,3 +77,41 @@ def test_every_row_when_all_are_wanted(spark):
     df = spark.range(50).select(F.col("id").alias("row_id"), F.array(F.lit("a")).alias("topic"))
     sample, _ = sample_to_targets(df, "row_id", ["topic"], [{"field": "topic", "category": "a", "share": 1.0, "min_rows": 1}], 50)
     assert sample.count() == 50
+
+
+def test_rows_count_for_all_their_categories(spark):
+    """Three categories, most rows with two of them; shares of what is drawn, floors, and what is said to be missed."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(6000):
+        held = rng.sample(["a", "b", "c"], rng.choice([1, 2, 2])) + (["rare"] if i % 500 == 0 else [])
+        rows.append((i, held, [rng.choice("xxxxxxy")], "q", "q"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    targets = [("topic", "a", 0.55, 5), ("topic", "b", 0.25, 5), ("topic", "c", 0.1999, 5), ("topic", "rare", 0.0001, 11), ("kind", "x", 0.6, 0), ("kind", "y", 0.4, 0)]
+    targets = [dict(zip(("field", "category", "share", "min_rows"), t, strict=True)) for t in targets]
+    sample, report = sample_to_targets(df, "row_id", ["topic", "kind"], targets, 1500)
+    got = sample.collect()
+    by = {(t["field"], t["category"]): t for t in report}
+    assert len(got) == 1500
+    for (field, category), t in by.items():
+        assert t["drawn"] == sum(category in r[field] for r in got)
+        if category != "rare":
+            assert t["category_share"] == pytest.approx(t["share"], abs=0.012)
+    assert by["topic", "rare"]["drawn"] >= 11 and not by["topic", "rare"]["missed"] and not by["kind", "y"]["missed"]
+    # half of the rows are wanted with y, but there are too few
+    _, report = sample_to_targets(df, "row_id", ["kind"], [dict(field="kind", category="y", share=0.5, min_rows=0), dict(field="kind", category="x", share=0.5, min_rows=0)], 3000)
+    y = next(t for t in report if t["category"] == "y")
+    assert y["short"] and y["missed"] and y["drawn"] >= 0.97 * y["available"]
+
+
+def test_cell_quotas_keep_their_bounds():
+    rng = random.Random(2)
+    for _ in range(60):
+        cells = [(sorted(rng.sample("abcd", rng.randrange(0, 4))), [rng.choice("xy")]) for _ in range(rng.randrange(1, 30))]
+        counts = [rng.randrange(1, 40) for _ in cells]
+        have = {("f", c): sum(n for (f, _), n in zip(cells, counts, strict=True) if c in f) for c in "abcd"} | {("g", c): sum(n for (_, g), n in zip(cells, counts, strict=True) if c in g) for c in "xy"}
+        report = [{"field": f, "category": c, "share": 0.25, "min_rows": rng.randrange(0, 6), "available": n} for (f, c), n in have.items()]
+        n = rng.randrange(0, sum(counts) + 5)
+        report = with_quotas(report, ["f", "g"], {"f": n, "g": n})
+        out = cell_quotas(cells, counts, ["f", "g"], report, n)
+        assert all(0 <= q <= c for q, c in zip(out, counts, strict=True)) and sum(out) == min(n, sum(counts))
