@@ -249,7 +249,9 @@ def pair_models(spark: SparkSession, sf_dir: str) -> tuple[ByteCNN, tuple, Corpu
     corpus = corpus_counts(pairs, "question", "answer", net)
     fits = (F.length("question") <= SAMPLE_CHARS) & (F.length("answer") <= SAMPLE_CHARS)
     h = F.pmod(F.xxhash64("origin", "record_id", "field"), F.lit(1 << 30))
-    picked = pairs.filter(fits).select(h.alias("h"), "question", "answer").orderBy("h", "question", "answer").limit(SAMPLE_PAIRS).collect()
+    # a share of the pairs that holds the sample and little more, so that tasks don't each hand over a whole one
+    share = min(1.0, 1.3 * SAMPLE_PAIRS / max(1, pairs.count()))
+    picked = pairs.filter(fits & (h <= int((1 << 30) * share))).select(h.alias("h"), "question", "answer").orderBy("h", "question", "answer").limit(SAMPLE_PAIRS).collect()
     return net, train_tagger([(plain(r["question"]), plain(r["answer"])) for r in picked], foreign, net, corpus=corpus), corpus
 
 
