@@ -14,7 +14,7 @@ from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, Corpus, corpus_counts, defective_pairs, plain, train_tagger
 from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, trained, weight
 from framequilt.llm.mixing import mix
-from framequilt.llm.overlaps import canonical_records, cross_split_links, cross_split_pairs
+from framequilt.llm.overlaps import canonical_records, cross_split_counts, cross_split_links, cross_split_pairs
 from framequilt.llm.packing import pack, pack_report
 from framequilt.llm.repetition import repetition, repetitive
 from framequilt.llm.sampling import sample_to_targets
@@ -203,20 +203,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 4: records across splits
 
 
-def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p4(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turns = F.col("conversations")
     rows = table(spark, sf_dir, "vqa_rows").select("row_id", _key().alias("key"), strip_ws(F.col("split")).alias("split"), first_turn(turns, ASKING).alias("q"), first_turn(turns, ANSWERING).alias("a"))
-    return cross_split_pairs(*cross_split_links(canonical_records(rows, "row_id", "key", "split", "q", "a")))
+    return cross_split_links(canonical_records(rows, "row_id", "key", "split", "q", "a"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _p4(spark, sf_dir).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
+    return cross_split_pairs(*_p4(spark, sf_dir)).select(F.least("eval_id", "train_id").alias("row_id_a"), F.greatest("eval_id", "train_id").alias("row_id_b"))
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs, and rows that have any, of each evaluation split and source."""
-    rows = table(spark, sf_dir, "vqa_rows").select(F.col("row_id").alias("eval_id"), strip_ws(F.col("split")).alias("split"), _low(F.col("source")).alias("source"))
-    return _p4(spark, sf_dir).join(rows, "eval_id").groupBy("split", "source", "kind").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_rows"))
+    rows = table(spark, sf_dir, "vqa_rows").select("row_id", strip_ws(F.col("split")).alias("split"), _low(F.col("source")).alias("source"))
+    return cross_split_counts(*_p4(spark, sf_dir), rows, "row_id", ["split", "source"])
 
 
 # ---- 5: broken pairs
