@@ -1,7 +1,9 @@
 """Connected components of entities that share values, by alternating star contraction.
 
 Links and components stay distributed: every step is an aggregate and a join, and each round is cut by a reliable
-checkpoint. A value shared by a third of all entities is reduced to a star by one aggregate; it is never listed in one task.
+checkpoint. A value shared by a third of all entities is reduced to a star by one aggregate. Links of hubs (nodes with
+more than HUB_LINKS links) find their hub's least neighbour by a broadcast of at most one row for so many links, so no
+join puts a hub's links in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +17,17 @@ from framequilt.session import cut
 MAX_ROUNDS = 60
 
 
+#: Links above which a node is a hub.
+HUB_LINKS = 100_000
+
+
+def _joined(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``least`` (key, m, n: links of the key): those of hubs by a broadcast, the others by a join on the key."""
+    least = cut(least)
+    hubs = F.broadcast(least.filter(F.col("n") > HUB_LINKS).drop("n"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(least.filter(F.col("n") <= HUB_LINKS).drop("n"), key))
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -22,14 +35,14 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to the least node around."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _joined(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of these. Edges come with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    rest = _joined(edges, least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,8 +55,8 @@ def connected_components(pairs: DataFrame, entity: str, value: str) -> DataFrame
     """
     known = pairs.select(F.col(entity).cast("string").alias("e"), F.col(value).cast("string").alias("s")).filter("e IS NOT NULL").distinct()
     known = cut(known)
-    least = known.filter("s IS NOT NULL").groupBy("s").agg(F.min("e").alias("m"))
-    edges = cut(known.filter("s IS NOT NULL").join(least, "s").filter("e > m").select(F.col("e").alias("u"), F.col("m").alias("v")).distinct())
+    least = known.filter("s IS NOT NULL").groupBy("s").agg(F.min("e").alias("m"), F.count("*").alias("n"))
+    edges = cut(_joined(known.filter("s IS NOT NULL"), least, "s").filter("e > m").select(F.col("e").alias("u"), F.col("m").alias("v")).distinct())
     before = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
         if not before[0]:

@@ -1,15 +1,15 @@
 """Splits that keep related records together: component swap search.
 
-Components too large for a shard are placed first, each where it leaves the least deviation; there are at most
-1 / LARGE_SHARE of them, so they fit on the driver whatever the input. All others start from hashed assignment and are
-improved by simulated annealing in parallel: random shards of components, each with its own part of what the large ones
+Large components come first: there are at most 1 / LARGE_SHARE of them, so they fit on the driver whatever the input.
+They are placed one by one where they overfill least, and moved and exchanged in an annealing of their own. All others
+start from hashed assignment and are improved by simulated annealing in parallel: random shards of components, each with its own part of what the large ones
 leave, run several seeded chains of moves and exchanges and keep the best state. What falls short in one shard doesn't
 depend on another, so the deviations add up to at most a few components per shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,21 +23,34 @@ from framequilt.session import cut
 LARGE_SHARE = 0.005
 #: Components of a shard: what one chain holds in memory.
 SHARD_COMPONENTS = 2_000
+#: Labels that are balanced each for itself, the most frequent ones; all others are balanced as one.
+LABELS = 40
 CHAINS = 3
 STEPS_PER_COMPONENT = 12
 
 
 def cost(totals: np.ndarray, want: np.ndarray) -> float:
-    """Deviation of sizes (column 0) and of labels (the others) from what is wanted, relative to all rows."""
-    all_rows = max(1.0, float(want[:, 0].sum()))
-    d = np.abs(totals - want) / all_rows
-    return float(4.0 * d[:, 0].sum() + d[:, 1:].sum())
+    """Deviation of sizes (column 0) and of labels (the others) from what is wanted. Sizes are relative to all rows, labels to the geometric mean of all rows and theirs: rare labels count for more than their rows."""
+    return deviation(totals - want, want)
 
 
-def anneal(weights: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, steps: int) -> tuple[np.ndarray, float]:
+def deviation(d: np.ndarray, want: np.ndarray) -> float:
+    of = want.sum(axis=0)
+    all_rows = max(1.0, float(of[0]))
+    scale = np.sqrt(all_rows * np.maximum(1.0, of))
+    part = np.abs(d).sum(axis=0) / scale
+    return float(4.0 * part[0] + part[1:].sum())
+
+
+def overfill(totals: np.ndarray, want: np.ndarray) -> float:
+    """As ``cost``, but room that others will fill doesn't count."""
+    return deviation(2.0 * np.maximum(totals - want, 0.0), want)
+
+
+def anneal(weights: np.ndarray, start: np.ndarray, want: np.ndarray, seed: int, steps: int, cost: Callable[[np.ndarray, np.ndarray], float] = cost) -> tuple[np.ndarray, float]:
     """Moves a component to another split or exchanges two components of different splits; returns the best state seen.
 
-    weights: components x (1 + labels); start: split of each; want: splits x (1 + labels).
+    weights: components x (1 + labels); start: split of each; want: splits x (1 + labels); cost: of the totals beside what is wanted.
     """
     rng = np.random.default_rng(seed)
     n, k = len(start), len(want)
@@ -106,8 +119,7 @@ def assign_splits(rows: DataFrame, entity: str, value: str, label: str, targets:
     member = cut(connected_components(base, "entity", "value"))
     counts = base.groupBy("entity", "label").agg(F.count("*").alias("n"))
     per = cut(counts.join(member, "entity").groupBy("component", "label").agg(F.sum("n").alias("n")))
-    # labels are categories; beyond the 40 most frequent they are balanced as one
-    top = [r["label"] for r in per.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(40).collect()]
+    top = [r["label"] for r in per.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS).collect()]
     label_at = {x: i + 1 for i, x in enumerate(top)}
     width = len(top) + 2
     code = F.coalesce(F.create_map(*[F.lit(y) for kv in label_at.items() for y in kv])[F.col("label")], F.lit(width - 1)) if top else F.lit(1)
@@ -129,17 +141,18 @@ def assign_splits(rows: DataFrame, entity: str, value: str, label: str, targets:
         return v
 
     bound = max(1.0, LARGE_SHARE * totals[0])
-    few = comp.count() <= SHARD_COMPONENTS
-    large = [] if few else comp.filter(F.col("n_rows") >= bound).select("component", "labels", "n_rows").orderBy("component").collect()
+    large = comp.filter(F.col("n_rows") >= bound).select("component", "labels", "n_rows").orderBy("component").collect()
     big_w = np.array([vector(r["labels"], r["n_rows"]) for r in large]).reshape(-1, width)
-    big_at = place_large(big_w, want)
+    placed_at = place_large(big_w, want)
+    tries = [anneal(big_w, placed_at, want, seed * 1000 + c, STEPS_PER_COMPONENT * len(large) + 2000, overfill) for c in range(CHAINS)]
+    big_at = min(tries, key=lambda t: t[1])[0]
     left = want.copy()
     np.subtract.at(left, big_at, big_w)
     left = np.maximum(left, 0)
     small_total = max(1.0, totals[0] - big_w[:, 0].sum())
     # a split that a large component overfills gets nothing more; the others share the rest in proportion
     left_shares = left[:, 0] / max(1e-9, left[:, 0].sum())
-    rest = comp if few else comp.filter(F.col("n_rows") < bound)
+    rest = comp.filter(F.col("n_rows") < bound)
     n_shards = max(1, -(-rest.count() // SHARD_COMPONENTS))
     label_left = left / np.maximum(left.sum(axis=0, keepdims=True), 1e-9)
     edges = np.cumsum(left_shares)
@@ -169,10 +182,10 @@ def assign_splits(rows: DataFrame, entity: str, value: str, label: str, targets:
 
     shard = F.pmod(F.xxhash64(F.lit(seed + 1), "component"), F.lit(n_shards)).cast("int")
     found = rest.select("component", "n_rows", "labels", "start", shard.alias("shard")).repartition("shard").sortWithinPartitions("shard").mapInPandas(search, "component string, n_rows bigint, split string")
-    if large:
-        placed = rows.sparkSession.createDataFrame([(r["component"], int(r["n_rows"]), names[i]) for r, i in zip(large, big_at, strict=True)], "component string, n_rows bigint, split string")
-        found = found.unionByName(placed)
-    return member.join(found, "component").select("entity", "component", "n_rows", "split")
+    # the entities of large components, a third of all or more, find theirs by a broadcast of 1 / LARGE_SHARE rows at most
+    placed = F.broadcast(rows.sparkSession.createDataFrame([(r["component"], int(r["n_rows"]), names[i]) for r, i in zip(large, big_at, strict=True)], "component string, n_rows bigint, split string"))
+    out = member.join(placed, "component").unionByName(member.join(placed.select("component"), "component", "left_anti").join(found, "component"), allowMissingColumns=True)
+    return out.select("entity", "component", "n_rows", "split")
 
 
 def split_report(assigned: DataFrame, rows: DataFrame, entity: str, label: str, targets: list[tuple[str, float]]) -> DataFrame:

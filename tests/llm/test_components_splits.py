@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from framequilt.llm.components import connected_components
-from framequilt.llm.splits import anneal, assign_splits, cost, place_large, split_report
+from framequilt.llm.splits import anneal, assign_splits, cost, overfill, place_large, split_report
 
 TARGETS = [("train", 0.8), ("val", 0.08), ("test", 0.12)]
 SCHEMA = "who string, seg string, kind string, component int, n_rows int"
@@ -97,3 +97,30 @@ def _by(rows, key, value):
     for r in rows:
         out.setdefault(r[key], set()).add(r[value])
     return out
+
+
+def test_hubs_go_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("framequilt.llm.components.HUB_LINKS", 10)
+    rng = random.Random(3)
+    rows = [(f"h{i}", "hub") for i in range(200)] + [(f"h{rng.randrange(400)}", f"t{rng.randrange(150)}") for _ in range(200)]
+    df = spark.createDataFrame([(k, s, "", 1, 1) for k, s in rows], SCHEMA)
+    assert dict(tuple(r) for r in connected_components(df, "who", "seg").collect()) == union_find(rows)
+
+
+def test_large_components_are_annealed_too():
+    """Placed one by one, the largest first, these don't fit; exchanged, they do."""
+    w = np.array([[30.0], [30.0], [20.0], [20.0], [20.0]])
+    want = np.array([[60.0], [60.0]])
+    at, best = anneal(w, place_large(w, want), want, 1, 2000, overfill)
+    totals = np.zeros_like(want)
+    np.add.at(totals, at, w)
+    assert best == 0 and totals.tolist() == want.tolist()
+    assert overfill(np.array([[50.0], [0.0]]), want) == 0 and overfill(np.array([[70.0], [0.0]]), want) > 0
+
+
+def test_rare_labels_are_balanced(spark):
+    rows = [(f"v{i}", None, "rare" if i % 40 == 0 else "a", 0, 0) for i in range(2000) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    report = {(r["split"], r["label"]): r["share"] for r in split_report(assign_splits(df, "who", "seg", "kind", TARGETS), df, "who", "kind", TARGETS).collect()}
+    for name, share in TARGETS:
+        assert report[name, "rare"] == pytest.approx(share, abs=0.03) and report[name, None] == pytest.approx(share, abs=0.01)
