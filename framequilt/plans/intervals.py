@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from framequilt.functions.text import video_key
 from framequilt.operators.intervals import interval_gaps, interval_periods
-from framequilt.session import table
+from framequilt.session import scratch, table
+from framequilt.streaming.incremental import gaps_of_states, interval_state
 
 
 def clip_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,24 @@ def p3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_periods(clip_times(spark, sf_dir), "key", "start_ms", "end_ms").withColumnRenamed("key", "youtube_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_periods": p3_periods}
+def p3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of p3_found from the keyed state of a stream over the same rows, read in several micro-batches."""
+    folder = scratch(spark, "clips")
+    rows = clip_times(spark, sf_dir)
+    for part in range(3):  # files that arrive one after another
+        rows.filter(F.pmod(F.xxhash64("start_ms", "end_ms"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, rows.rdd.getNumPartitions())).parquet(f"{folder}/in")
+    states = interval_state(stream, "key", "start_ms", "end_ms")
+
+    def keep(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
+
+    query = states.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return gaps_of_states(spark.read.parquet(f"{folder}/states")).withColumnRenamed("key", "youtube_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_periods": p3_periods, "p3_stream": p3_stream}
 
 _CLIPS = r"""
 clips AS (
@@ -47,3 +65,4 @@ runs AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END)
 SELECT k AS youtube_id, 'covered' AS kind, min(s) AS start_ms, max(e) AS end_ms FROM runs GROUP BY k, run
 UNION ALL SELECT k, 'gap', before, s FROM reach WHERE s > before""",
 }
+SQL["p3_stream"] = SQL["p3_found"]

@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framequilt.operators.intervals import IntervalMap
+from framequilt.operators.intervals import BLOCK_MS, KeyedIntervals, combined_intervals, interval_gaps
+from framequilt.session import cut
 
 
 def run_available(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
@@ -21,24 +23,35 @@ def run_available(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out
     query.awaitTermination()
 
 
-def interval_state(stream: DataFrame, key: str, start_ms: str, end_ms: str) -> DataFrame:
-    """Intervals per entity in keyed state: after each micro-batch, the gaps that are open now for the entities it touched.
+def interval_state(stream: DataFrame, key: str, start_ms: str, end_ms: str, block_ms: int = BLOCK_MS) -> DataFrame:
+    """Intervals per (entity, block of the start) in keyed state: after each micro-batch, the state of each block that it touched.
 
-    Returns key, gaps (array of struct start_ms, end_ms), first_ms, last_ms; the latest row of a key holds. Rows with a
-    null, and those whose end is not after the start, are left out. The state is the map itself: two sorted arrays.
+    Returns key, block, version (grows with each update; the latest row of a block holds), intervals (array of struct
+    start_ms, end_ms), gaps between these, first_ms, last_ms. Rows with a null, and those whose end is not after the
+    start, are left out. Tasks merge what they read before it is sent to the state, so an entity, or a block, that holds a
+    third of all rows sends its merged intervals only. ``gaps_of_states`` puts an entity's blocks together.
     """
-    rows = stream.selectExpr(f"cast({key} as string) AS key", f"cast({start_ms} as bigint) AS start_ms", f"cast({end_ms} as bigint) AS end_ms").filter("key IS NOT NULL AND end_ms > start_ms")
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m = IntervalMap()
+        held, version = KeyedIntervals(), 0
         if state.exists:
-            m.starts, m.ends = (list(x) for x in state.get)
+            starts, ends, version = state.get
+            held.update(k, starts, ends)
         for pdf in batches:
-            for s, e in zip(pdf["start_ms"].tolist(), pdf["end_ms"].tolist(), strict=True):
-                m.insert(s, e)
-        state.update((m.starts, m.ends))
-        yield pd.DataFrame({"key": [k[0]], "gaps": [[{"start_ms": a, "end_ms": b} for a, b in m.gaps()]], "first_ms": [m.starts[0]], "last_ms": [m.ends[-1]]})
-
-    return rows.groupBy("key").applyInPandasWithState(
-        update, "key string, gaps array<struct<start_ms bigint, end_ms bigint>>, first_ms bigint, last_ms bigint", "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout
+            held.update(k, pdf["start_ms"].tolist(), pdf["end_ms"].tolist())
+        m = held.maps[k]
+        state.update((m.starts, m.ends, version + 1))
+        spans = lambda pairs: [{"start_ms": a, "end_ms": b} for a, b in pairs]
+        yield pd.DataFrame({"key": [k[0]], "block": [k[1]], "version": [version + 1], "intervals": [spans(zip(m.starts, m.ends, strict=True))], "gaps": [spans(m.gaps())], "first_ms": [m.starts[0]], "last_ms": [m.ends[-1]]})
+
+    span = "array<struct<start_ms bigint, end_ms bigint>>"
+    return combined_intervals(stream, key, start_ms, end_ms, block_ms).groupBy("key", "block").applyInPandasWithState(
+        update, f"key string, block bigint, version bigint, intervals {span}, gaps {span}, first_ms bigint, last_ms bigint", "starts array<bigint>, ends array<bigint>, version bigint", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def gaps_of_states(states: DataFrame) -> DataFrame:
+    """Gaps of each entity from the rows that ``interval_state`` has written so far: key, gap_start_ms, gap_end_ms. The batch operator's own way, from the states that are held instead of new ones."""
+    latest = states.groupBy("key", "block").agg(F.max_by("intervals", "version").alias("i"))
+    parts = cut(latest.select("key", "block", F.inline("i")))
+    return interval_gaps(parts, "key", "start_ms", "end_ms", combined=parts)

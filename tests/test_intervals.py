@@ -1,6 +1,7 @@
 import random
 
 from framequilt.operators.intervals import IntervalMap, interval_gaps, interval_periods
+from framequilt.streaming.incremental import gaps_of_states, interval_state
 
 SCHEMA = "who string, a bigint, b bigint, gap_start_ms string, `start ms` int"
 
@@ -54,3 +55,20 @@ def test_periods_and_empty_table(spark):
     got = {tuple(r) for r in interval_periods(df, "who", "a", "b", block_ms=20).collect()}
     assert got == {("v", "covered", 0, 30), ("v", "gap", 30, 40), ("v", "covered", 40, 50), ("w", "covered", 5, 6)}
     assert interval_periods(df.limit(0), "who", "a", "b").collect() == []
+
+
+def test_stream_keeps_the_same_states(spark, tmp_path):
+    """One entity over several blocks, in three micro-batches; an interval that covers a gap comes last."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["hot", "hot", "a", None]), s := rng.randrange(0, 5_000_000), s + rng.randrange(-5, 9000)) for _ in range(600)]
+    schema = "who string, a bigint, b bigint"
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).coalesce(2).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "states")
+    query = interval_state(stream, "who", "a", "b").writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = spark.read.parquet(out)
+    assert states.select("batch").distinct().count() == 3 and states.filter("key = 'hot'").select("block").distinct().count() > 5
+    want = {tuple(r) for r in interval_gaps(spark.createDataFrame(rows, schema), "who", "a", "b").collect()}
+    assert {tuple(r) for r in gaps_of_states(states).collect()} == want and want
