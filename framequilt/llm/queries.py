@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from framequilt.functions.text import ANSWERING, ASKING, blank_to_null, clean_str, first_turn, strip_ws, video_key
 from framequilt.llm.bytecnn import ByteCNN
 from framequilt.llm.defects import SAMPLE_CHARS, SAMPLE_PAIRS, Corpus, corpus_counts, defective_pairs, plain, train_tagger
-from framequilt.llm.languages import code_column, identify, labelled_sample, sentences, trained, weight
+from framequilt.llm.languages import LANGUAGE_NAMES, code_column, identify, labelled_sample, sentences, trained, weight
 from framequilt.llm.mixing import mix
 from framequilt.llm.overlaps import canonical_records, cross_split_counts, cross_split_links, cross_split_pairs
 from framequilt.llm.packing import pack, pack_report
@@ -79,6 +79,14 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_report(assigned, rows, "key", "label", targets)
 
 
+def p1_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos that have a split, videos tied to others, and groups that lie in more than one split."""
+    assigned = p1_assigned(spark, sf_dir)[0]
+    per = assigned.groupBy("component").agg(F.count("*").alias("n"), F.count_distinct("split").alias("s"))
+    tied = F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_videos"), tied.alias("n_tied"), F.count_if(F.col("s") > 1).alias("n_torn"))
+
+
 # ---- 2: repetition inside a document
 
 
@@ -129,6 +137,14 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c, kind in names.items())).withColumnRenamed("name", "category")
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that supply each category, whether they are too few, and that nothing else was drawn than rows, each once, as many as asked for."""
+    sample, report, _ = _p6(spark, sf_dir)
+    n, once = sample.agg(F.count("*"), F.count_distinct("row_id")).first()
+    rows = [(t["field"], t["name"], t["available"], t["short"], t["drawn"] <= t["available"], n, once) for t in report]
+    return spark.createDataFrame(rows, "field string, category string, available bigint, short boolean, drawn_exist boolean, n_drawn bigint, n_different bigint")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _p6(spark, sf_dir)[1]
     return spark.createDataFrame([(t["field"], t["name"]) for t in report if t["short"]], "field string, category string")
@@ -156,6 +172,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_report(*_p7(spark, sf_dir))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per stage: documents, pieces and tokens that went in, containers above the capacity, and documents cut though they fit."""
+    packed, stages = _p7(spark, sf_dir)
+    caps = spark.createDataFrame(stages, "stage string, capacity bigint")
+    bins = packed.groupBy("stage", "group", "bin").agg(F.sum("tokens").alias("held")).join(F.broadcast(caps), "stage")
+    over = bins.groupBy("stage").agg(F.count_if(F.col("held") > F.col("capacity")).alias("n_overfull"))
+    docs = packed.groupBy("stage", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("size")).join(F.broadcast(caps), "stage")
+    per = docs.groupBy("stage").agg(F.count("*").alias("n_docs"), F.sum("pieces").alias("n_pieces"), F.sum("size").alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("n_cut_for_nothing"))
+    return per.join(over, "stage")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p7(spark, sf_dir)[0].filter("n_pieces > 1 AND piece = 0").select("stage", "doc_id")
 
@@ -177,6 +204,16 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, weight double, max_repeats bigint, available bigint, blocks bigint, tokens bigint, actual_share double, short boolean")
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: tokens there are, whether they suffice, and documents that were used more often than allowed, or of no size known."""
+    chosen, report = _p8(spark, sf_dir)
+    limits = spark.createDataFrame([(r["source"], r["name"], r["max_repeats"], r["available"], r["short"]) for r in report], "source string, name string, most bigint, available bigint, short boolean")
+    docs = table(spark, sf_dir, "documents").select("doc_id", token_size(F.col("text")).alias("size"))
+    used = chosen.join(docs, "doc_id").join(F.broadcast(limits.select("source", "most")), "source")
+    wrong = used.groupBy("source").agg(F.count_if((F.col("copies") > F.col("most")) | (F.col("size") != F.col("tokens"))).alias("n_wrong"))
+    return limits.join(wrong, "source", "left").select(F.col("name").alias("source"), "available", "short", F.coalesce("n_wrong", F.lit(0)).alias("n_wrong"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["name"],) for r in _p8(spark, sf_dir)[1] if r["short"]], "source string")
 
@@ -264,7 +301,7 @@ def p5_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("origin", "field", "defect").agg(F.count("*").alias("n_pairs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p7_found, p7_packed, p7_report, p8_found, p8_mixture, p8_report, p9_found, p9_passages, p4_found, p4_report, p5_found, p5_summary)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_checks, p2_found, p2_shares, p2_repetitive, p6_found, p6_sample, p6_report, p6_checks, p7_found, p7_packed, p7_report, p7_checks, p8_found, p8_mixture, p8_report, p8_checks, p9_found, p9_passages, p4_found, p4_report, p5_found, p5_summary)}
 
 _KEY = r"""coalesce(nullif(regexp_replace(youtube_id, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), ''),
                   nullif(substr(regexp_extract(regexp_replace(video, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '([^/\\]*)$', 1), 1, 11), ''))"""
@@ -273,6 +310,8 @@ _PROC = rf"""
 p0 AS (SELECT nullif({_STRIP.format('youtube_id')}, '') AS k, CASE WHEN json_valid(entry) AND json_type(entry) = 'OBJECT' THEN CAST(entry AS JSON) END AS e FROM procedure_map),
 proc AS (SELECT k, nullif(lower({_STRIP.format("e->>'$.surgery'")}), '') AS su, nullif(lower({_STRIP.format("e->>'$.specialty'")}), '') AS sp FROM p0 WHERE k IS NOT NULL)
 """
+_LABEL = f"lower({_STRIP.format('lang')})"
+_CODES = "map {" + ", ".join(f"'{n}': '{code}'" for code, names in LANGUAGE_NAMES.items() for n in names) + "}"
 SQL = {
     "p1_found": rf"""WITH RECURSIVE ties AS (SELECT DISTINCT {_KEY} AS k, nullif({_STRIP.format('segment_id')}, '') AS s FROM clip_captions),
 links AS (SELECT DISTINCT a.k, b.k AS o FROM ties a JOIN ties b ON a.s = b.s AND a.k <> b.k),
@@ -284,6 +323,30 @@ grams AS (SELECT origin, record_id, len(w) AS n, unnest(range(1, len(w) - 4)) AS
 seen AS (SELECT origin, record_id, n, i, row_number() OVER (PARTITION BY origin, record_id, array_to_string(w[i:i + 5], ' ') ORDER BY i) AS r FROM grams),
 words AS (SELECT DISTINCT origin, record_id, n, unnest(range(i, i + 6)) AS j FROM seen WHERE r > 1)
 SELECT origin, record_id FROM words GROUP BY origin, record_id, n HAVING count(*) * 10 >= n * 3""",
+    "p2_shares": rf"""WITH texts AS (SELECT 'documents' AS origin, doc_id AS record_id, coalesce({_CODES}[{_LABEL}], {_CODES}[regexp_split_to_array({_LABEL}, '[-_. ]')[1]]) AS lang, lower({_STRIP.format('source')}) AS source, text AS body FROM documents
+UNION ALL SELECT 'transcripts', transcript_id, NULL, lower({_STRIP.format('backend')}), transcript.text FROM transcripts),
+lists AS (SELECT * EXCLUDE (body), CASE WHEN body IS NULL THEN [] ELSE regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}_]+') END AS w FROM texts),
+grams AS (SELECT origin, record_id, unnest(range(1, len(w) - 4)) AS i, w FROM lists WHERE len(w) >= 6),
+seen AS (SELECT origin, record_id, i, row_number() OVER (PARTITION BY origin, record_id, array_to_string(w[i:i + 5], ' ') ORDER BY i) AS r FROM grams),
+words AS (SELECT DISTINCT origin, record_id, unnest(range(i, i + 6)) AS j FROM seen WHERE r > 1),
+n AS (SELECT origin, record_id, count(*) AS n FROM words GROUP BY origin, record_id)
+SELECT origin, record_id, lang, source, len(w) AS n_words, coalesce(n.n, 0) AS n_repeated, coalesce(n.n, 0) / greatest(len(w), 1) AS repeated_share FROM lists LEFT JOIN n USING (origin, record_id)""",
+    "p1_checks": rf"""WITH RECURSIVE ties AS (SELECT DISTINCT {_KEY} AS k, nullif({_STRIP.format('segment_id')}, '') AS s FROM clip_captions),
+tied AS (SELECT DISTINCT a.k FROM ties a JOIN ties b ON a.s = b.s AND a.k <> b.k)
+SELECT (SELECT count(DISTINCT k) FROM ties) AS n_videos, (SELECT count(*) FROM tied) AS n_tied, 0 AS n_torn""",
+    "p6_checks": rf"""WITH {_PROC},
+v AS (SELECT row_id, {_KEY} AS k, applicable_categories AS a FROM vqa_rows),
+has AS (SELECT DISTINCT row_id, 'applicable_categories' AS f, lower({_STRIP.format('c')}) AS c FROM (SELECT row_id, unnest(a) AS c FROM v)
+  UNION SELECT row_id, 'specialty', sp FROM v JOIN proc USING (k)
+  UNION SELECT row_id, 'surgery', CASE WHEN su = 'open surgery' THEN 'open' ELSE su END FROM v JOIN proc USING (k)),
+n AS (SELECT f, c, count(*) AS n FROM has GROUP BY f, c), half AS (SELECT count(*) // 2 AS h FROM vqa_rows)
+SELECT t.field, t.category, coalesce(n.n, 0) AS available, coalesce(n.n, 0) < greatest(t.min_rows, t.share * h) AS short, true AS drawn_exist, h AS n_drawn, h AS n_different
+FROM category_targets t CROSS JOIN half LEFT JOIN n ON n.f = t.field AND n.c = lower(t.category)""",
+    "p7_checks": """WITH d AS (SELECT stage, capacity_tokens AS cap, coalesce(strlen(text) + 1, 0) AS n FROM pack_budgets, documents)
+SELECT stage, count(*) AS n_docs, CAST(sum(greatest(1, c)) AS BIGINT) AS n_pieces, CAST(sum(n) AS BIGINT) AS tokens, 0 AS n_overfull, 0 AS n_cut_for_nothing FROM (SELECT stage, cap, n, (n + cap - 1) // cap AS c FROM d) GROUP BY stage""",
+    "p8_checks": rf"""WITH d AS (SELECT lower({_STRIP.format('source')}) AS s, coalesce(strlen(text) + 1, 0) AS n FROM documents)
+SELECT source, CAST(coalesce(n, 0) AS BIGINT) AS available, coalesce(n, 0) * max_repeats < weight * (SELECT sum(n) FROM d) AS short, 0 AS n_wrong
+FROM mixture_targets t LEFT JOIN (SELECT s, sum(n) AS n FROM d GROUP BY s) ON s = t.source""",
     "p6_found": rf"""WITH {_PROC},
 v AS (SELECT row_id, {_KEY} AS k, applicable_categories AS a FROM vqa_rows),
 has AS (SELECT DISTINCT row_id, 'applicable_categories' AS f, lower({_STRIP.format('c')}) AS c FROM (SELECT row_id, unnest(a) AS c FROM v)
