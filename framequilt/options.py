@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from framequilt.operators.metrics import GROUPS
 
@@ -67,22 +69,50 @@ class InferenceOptions:
 @dataclass(frozen=True)
 class TranscribeOptions:
     backend: str = "api"
+    model_name: str = "base"
+    language: str | None = None
+    api_key: str | None = field(default=None, repr=False)
+    audio_format: str = "mp3"
     max_file_mb: float = 25.0
-    output_dir: str = "output"
+    output_dir: str = "./outputs"
+    temp_dir: str = "./temp"
 
     def __post_init__(self) -> None:
         if self.backend not in ("api", "local"):
             raise ValueError("backend is api or local")
 
+    @classmethod
+    def from_env(cls, env: Mapping[str, str] = os.environ) -> TranscribeOptions:
+        """Options from the environment, blanks at the ends removed; the backend api needs a key."""
+        # Names of the variables.
+        names = {"backend": "WHISPER_BACKEND", "model_name": "WHISPER_MODEL_NAME", "language": "WHISPER_LANGUAGE", "api_key": "OPENAI_API_KEY", "audio_format": "AUDIO_FORMAT", "max_file_mb": "MAX_FILE_SIZE_MB", "output_dir": "OUTPUT_DIR", "temp_dir": "TEMP_DIR"}
+        told: dict = {k: env[v].strip() for k, v in names.items() if v in env}
+        for k in ("language", "api_key"):
+            told[k] = told.get(k) or None
+        if "backend" in told:
+            told["backend"] = told["backend"].lower()
+        if "max_file_mb" in told:
+            told["max_file_mb"] = float(int(told["max_file_mb"]))
+        options = cls(**told)
+        if options.backend == "api" and not options.api_key:
+            raise ValueError("the backend api needs OPENAI_API_KEY")
+        return options
+
 
 @dataclass(frozen=True)
 class CropOptions:
     samples: int = 24
     padding: float = 0.04
+    max_analysis_dim: int = 640
+    saliency_quantile: float = 0.78
+    black_threshold: float = 18.0
+    print_filter: bool = False
     min_border_px: int = 16
     min_border_pct: float = 0.025
     dry_run: bool = False
 
     def __post_init__(self) -> None:
+        if self.max_analysis_dim < 1 or not 0 < self.saliency_quantile < 1 or not 0 <= self.black_threshold <= 255:
+            raise ValueError("max_analysis_dim from 1, saliency_quantile between 0 and 1, black_threshold within 0 to 255")
         if self.samples < 1 or not 0 <= self.padding <= 1 or self.min_border_px < 0 or not 0 <= self.min_border_pct <= 1:
             raise ValueError("samples from 1, padding and min_border_pct within 0 to 1, min_border_px from 0")
