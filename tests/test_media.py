@@ -72,7 +72,8 @@ def test_windows_of_videos(spark):
     # all black: every pixel is as salient as any other, so the whole frame is one component, and even numbers begin at 2
     assert (b["x"], b["y"], b["w"], b["h"]) == (2, 2, 88, 88)
     times = spark.createDataFrame([("/a.mp4", [0.0, 1.0, 9.0]), ("/gone.mp4", [0.0])], "path string, times array<double>")
-    read = media.read_frames(times, "path", "times", lambda p, t: _picture() if p == "/a.mp4" and t < 5 else None).collect()
+    picture = _picture()
+    read = media.read_frames(times, "path", "times", lambda p, t: picture if p == "/a.mp4" and t < 5 else None).collect()
     assert [(r["path"], r["frame_no"], r["height"]) for r in read] == [("/a.mp4", 0, 180), ("/a.mp4", 1, 180)]
 
 
