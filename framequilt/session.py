@@ -32,6 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a frame from ``cut`` that nothing reads any more: rounds of a loop would otherwise pile up. Other frames are left alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    kept = plan.rdd().getCheckpointFile()
+    if kept.isDefined():
+        fs, path = _path(df.sparkSession, kept.get())
+        fs.delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
