@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framequilt.session import cut
+from framequilt.session import cut, discard
 
 #: Stars halve the longest path, roughly; this many rounds reach through paths of far over a million entities.
 MAX_ROUNDS = 60
@@ -21,9 +21,10 @@ MAX_ROUNDS = 60
 HUB_LINKS = 100_000
 
 
-def _joined(rows: DataFrame, least: DataFrame, key: str) -> DataFrame:
+def _joined(rows: DataFrame, least: DataFrame, key: str, used: list[DataFrame]) -> DataFrame:
     """Rows with the columns of ``least`` (key, m, n: links of the key): those of hubs by a broadcast, the others by a join on the key."""
     least = cut(least)
+    used.append(least)
     hubs = F.broadcast(least.filter(F.col("n") > HUB_LINKS).drop("n"))
     return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(least.filter(F.col("n") <= HUB_LINKS).drop("n"), key))
 
@@ -32,17 +33,17 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Each node links its larger neighbours to the least node around."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    return _joined(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _joined(both, least, "u", used).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of these. Edges come with u > v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    rest = _joined(edges, least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = _joined(edges, least, "u", used).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -56,12 +57,18 @@ def connected_components(pairs: DataFrame, entity: str, value: str) -> DataFrame
     known = pairs.select(F.col(entity).cast("string").alias("e"), F.col(value).cast("string").alias("s")).filter("e IS NOT NULL").distinct()
     known = cut(known)
     least = known.filter("s IS NOT NULL").groupBy("s").agg(F.min("e").alias("m"), F.count("*").alias("n"))
-    edges = cut(_joined(known.filter("s IS NOT NULL"), least, "s").filter("e > m").select(F.col("e").alias("u"), F.col("m").alias("v")).distinct())
+    used: list[DataFrame] = []
+    edges = cut(_joined(known.filter("s IS NOT NULL"), least, "s", used).filter("e > m").select(F.col("e").alias("u"), F.col("m").alias("v")).distinct())
     before = _fingerprint(edges)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        used.append(edges)
+        stars = cut(_large_star(edges, used))
+        used.append(stars)
+        edges = cut(_small_star(stars, used))
+        while used:  # what this round was made from
+            discard(used.pop())
         now = _fingerprint(edges)
         if now == before:
             break
