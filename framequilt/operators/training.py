@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framequilt.functions.text import strip_ws
-from framequilt.operators.blocks import sums_before
+from framequilt.functions.values import seeded
+from framequilt.operators.blocks import sums_before, with_position
 from framequilt.operators.selection import sample_fraction
 
 # Names of the data sets, each with the beginning and the end of its file's name; a view stands between the two.
@@ -166,6 +167,20 @@ def sequence_offsets(df: DataFrame, group: str, order: str, length: str) -> Data
     return sums_before(df, [group], [order], {"offset": length})
 
 
+def replacements(items: DataFrame, row_key: str, failed: str, seed: int) -> DataFrame:
+    """For each item that failed, another one that didn't, drawn by the seeded hash of its key: the key and ``replacement`` (null where no item is sound). ``row_key`` is unique.
+
+    Draws are independent, as a retry draws again from all items; the same rows give the same draws.
+    """
+    sound = with_position(items.filter(~F.coalesce(F.col(failed), F.lit(True))).select(F.col(row_key).alias("replacement")), ["replacement"], "__place")
+    n = sound.count()
+    bad = items.filter(F.coalesce(F.col(failed), F.lit(True))).select(row_key)
+    draw = F.conv(F.substring(seeded(seed, F.col(row_key)), 1, 15), 16, 10).cast("bigint")
+    if not n:
+        return bad.withColumn("replacement", F.lit(None).cast(dict(items.dtypes)[row_key]))
+    return bad.withColumn("__place", F.pmod(draw, F.lit(n))).join(sound, "__place", "left").select(row_key, "replacement")
+
+
 def mask_labels(ids: list[int]) -> list[int]:
     """Labels of one sequence: answers from two after ANSWER_TOKEN through one after the next END_TOKEN, IGNORED elsewhere. An answer that never ends has none."""
     out = [IGNORED] * len(ids)

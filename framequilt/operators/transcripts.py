@@ -134,6 +134,12 @@ def detailed_json(offsets: DataFrame, key: str, order: str) -> DataFrame:
     return out.select(key, F.to_json(F.struct(*fields), {"pretty": "true"}).alias("content"))
 
 
+def timing_json(rows: DataFrame, key: str, stages: list[str]) -> DataFrame:
+    """How long each stage took, and all of them, as one JSON text per video: key, content. Stages that weren't timed are left out."""
+    total = sum((F.coalesce(F.col(s), F.lit(0.0)) for s in stages), start=F.lit(0.0))
+    return rows.select(key, F.to_json(F.struct(*[F.col(s) for s in stages], total.alias("total_time")), {"pretty": "true"}).alias("content"))
+
+
 def transcription_batch(selected: DataFrame, catalogue: DataFrame, done: DataFrame) -> DataFrame:
     """Status of every selected title: skipped_missing (blank title or no such video), skipped_done, or to_run; with its video and the folder of its output.
 

@@ -638,6 +638,20 @@ def data_mixture(spark, d):
     return training.mixture(list(zip(chosen, frames, strict=True)), "doc_id", 1)
 
 
+@query("""WITH s AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS place FROM vqa_rows WHERE format <> 'mcq'),
+b AS (SELECT row_id, CAST('0x' || substr(sha1('5|' || row_id), 1, 15) AS BIGINT) % (SELECT count(*) FROM s) AS place FROM vqa_rows WHERE format = 'mcq' OR format IS NULL)
+SELECT b.row_id, s.row_id AS replacement FROM b LEFT JOIN s USING (place)""")
+def item_replacements(spark, d):
+    rows = _t(spark, d, "vqa_rows").select("row_id", (F.col("format") == "mcq").alias("failed"))
+    return training.replacements(rows, "row_id", "failed", 5)
+
+
+@query("SELECT doc_id, CAST(n_chars AS BIGINT) AS n FROM documents")
+def known_lengths(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select("doc_id", training.known_lengths(docs, "n_chars").alias("n"))
+
+
 @query(f"""WITH n AS (SELECT row_id, len(string_split(coalesce({TURN.format('conversations', "'gpt','assistant'")}, ''), ' ')) AS n FROM vqa_rows)
 SELECT row_id, [-100, -100, -100] || range(10, n + 11) || [151645, 3] || CASE row_id % 3 WHEN 0 THEN [-100, -100] || range(20, 22) || [151645, 4] WHEN 1 THEN [-100, -100, -100, -100] ELSE [-100, -100] || [151645, 77091, -100, -100] END AS labels FROM n""")
 def label_masks(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framequilt.functions.text import file_name, file_stem
+from framequilt.operators.blocks import with_position
 from framequilt.session import exists, write_file
 from framequilt.sources.readers import numbered_lines
 
@@ -66,12 +67,12 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_ranks(df: DataFrame, path: str, world: int, order: str = "line_no") -> None:
-    """Rows of each rank in a folder of its own: rank=N."""
-    df.withColumn("rank", F.pmod(F.col(order), F.lit(world))).write.mode("overwrite").partitionBy("rank").json(path)
+    """Rows of each rank in a folder of its own: rank=N. Every ``world``-th row in the order given belongs to a rank, whatever numbers ``order`` holds."""
+    with_position(df, [order], "__place").withColumn("rank", F.pmod(F.col("__place"), F.lit(world)).cast("int")).drop("__place").write.mode("overwrite").partitionBy("rank").json(path)
 
 
 def merge_ranks(spark: SparkSession, path: str, world: int, schema: str) -> DataFrame:
-    """Rows of all ranks with rank and line_no; a rank without folder is an error. Order by both for the merged order."""
+    """Rows of all ranks with rank; a rank without folder is an error. Order by rank and the rows' own number for the merged order, or read the folders with ``merged_lines``."""
     missing = [r for r in range(world) if not exists(spark, f"{path}/rank={r}")]
     if missing:
         raise FileNotFoundError(f"no output of ranks {missing} in {path}")

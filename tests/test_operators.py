@@ -147,3 +147,25 @@ def test_training_items(spark):
     assert len(known) == 21 and [d.percent for d in training.parse_mixture("surgatlas_qa%50,surg_step_descriptions_mis,surgatlas_qa%0", known)] == [50, 100, 0]
     with pytest.raises(ValueError, match="nope"):
         training.parse_mixture("nope%5", known)
+
+
+def test_replacements_and_lengths(spark):
+    df = spark.createDataFrame([(i, i % 3 == 0 if i % 10 else None) for i in range(60)], "k int, bad boolean")
+    got = {r["k"]: r["replacement"] for r in training.replacements(df, "k", "bad", 1).collect()}
+    assert set(got) == {i for i in range(60) if i % 10 == 0 or i % 3 == 0} and all(v % 3 and v % 10 for v in got.values()) and len(set(got.values())) > 5
+    assert got == {r["k"]: r["replacement"] for r in training.replacements(df.repartition(7), "k", "bad", 1).collect()}
+    none = training.replacements(df.withColumn("bad", F.lit(True)), "k", "bad", 1).collect()
+    assert len(none) == 60 and all(r["replacement"] is None for r in none)
+    assert [r[0] for r in df.limit(2).select(training.known_lengths(df)).collect()] == [1, 1]
+    assert '"total_time" : 3.5' in transcripts.timing_json(spark.createDataFrame([("v", 1.5, 2.0, None)], "k string, a double, b double, c double"), "k", ["a", "b", "c"]).first()["content"]
+
+
+def test_messages(spark):
+    rows = [(1, [("human", "<image> a <video>b"), ("gpt", " said "), ("human", "<video>")], ["i.png"], ["v.mp4", "/abs.mp4"]), (2, [("gpt", None)], [], [])]
+    df = spark.createDataFrame(rows, f"n int, c {TURNS}, i array<string>, v array<string>")
+    got = {r["n"]: r["m"] for r in df.select("n", training.messages(F.col("c"), F.col("i"), F.col("v"), "/base").alias("m")).collect()}
+    told = [(m["role"], [(p["type"], p["text"], p["path"]) for p in m["content"]]) for m in got[1]]
+    assert told == [("user", [("image", None, "/base/i.png"), ("text", "a", None), ("video", None, "/base/v.mp4"), ("text", "b", None)]), ("assistant", [("text", " said ", None)]), ("user", [("video", None, "/abs.mp4")])]
+    assert [(m["role"], m["content"][0]["text"]) for m in got[2]] == [("assistant", "")]
+    with pytest.raises(Exception, match="more <video>"):
+        df.select(training.messages(F.col("c"), F.col("i"), F.array().cast("array<string>"))).collect()
