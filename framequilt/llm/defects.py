@@ -96,16 +96,42 @@ def sure_refusal(answer: str) -> bool:
     return hit["unable"] and (hit["self"] or hit["regret"])
 
 
+class InOrder:
+    """Longest common subsequences with one text, however long: a row of the usual table is one integer, a bit for each word. Places of words are kept as such integers within KEPT_BYTES."""
+
+    KEPT_BYTES = 64_000_000
+
+    def __init__(self, whole: list[str]) -> None:
+        self.n = len(whole)
+        self.kept: dict[str, int] = {}
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(whole):
+            self.places.setdefault(w, []).append(i)
+
+    def _mask(self, w: str) -> int:
+        m = self.kept.get(w)
+        if m is None:
+            bits = bytearray(self.n // 8 + 1)
+            for i in self.places[w]:
+                bits[i >> 3] |= 1 << (i & 7)
+            m = int.from_bytes(bits, "little")
+            if len(self.kept) * len(bits) < self.KEPT_BYTES:
+                self.kept[w] = m
+        return m
+
+    def length(self, part: list[str]) -> int:
+        every = (1 << self.n) - 1
+        row = every
+        for w in part:
+            if w in self.places:
+                hit = row & self._mask(w)
+                row = ((row + hit) | (row - hit)) & every
+        return self.n - row.bit_count()
+
+
 def in_order(part: list[str], whole: list[str]) -> int:
-    """Length of the longest common subsequence; one row of the table is held."""
-    row = [0] * (len(whole) + 1)
-    for p in part:
-        left = 0
-        for j, q in enumerate(whole, 1):
-            up = row[j]
-            row[j] = left + 1 if p == q else max(up, row[j - 1])
-            left = up
-    return row[-1]
+    """Length of the longest common subsequence."""
+    return InOrder(whole).length(part)
 
 
 class Counts(dict):
@@ -184,7 +210,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
     at = 0
     for no, ((q, a), cs, s) in enumerate(zip(pairs, split, asked, strict=True)):
         wq = words(q)
-        bag = Counter(wq)
+        bag, ordered = Counter(wq), InOrder(wq)
         wc = [words(c) for c in cs]
         cover = sum((bag & Counter(w for ws in wc for w in ws)).values()) / max(1, len(wq))
         order = np.argsort(s)
@@ -225,8 +251,8 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
             earlier = earlier or any_cue
             bare = ws[1:] if len(ws) > 1 and ws[0] in ("question", "answer") else ws
             # a subsequence in common is no longer than the words in common, and below the first step its length doesn't matter
-            common = sum((bag & Counter(bare)).values()) / max(1, len(bare))
-            ratio = in_order(bare, wq) / len(bare) if common >= _LCS_STEPS[0] else 0.0
+            common = sum(min(bag[w], k) for w, k in Counter(bare).items() if w in bag) / max(1, len(bare))
+            ratio = ordered.length(bare) / len(bare) if common >= _LCS_STEPS[0] else 0.0
             lcs_step = bisect_right(_LCS_STEPS, ratio)
             cover_step = bisect_right(_COVER_STEPS, cover)
             f[_AT[f"lcs_{lcs_step}"]] = 1

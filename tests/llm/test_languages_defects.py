@@ -243,3 +243,28 @@ def test_scores_don_t_depend_on_what_is_scored_together():
     top = np.maximum(conv.max(axis=1) + net.p["bias"], 0) @ net.p["out"] + net.p["out_bias"]
     lp = top - np.log(np.exp(top - top.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - top.max(axis=1, keepdims=True)
     assert np.allclose(net.log_probs(to_windows(texts)[0]), lp, atol=1e-4)
+
+
+def test_in_order_equals_the_table():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = (list(rng.choice(list("abcdef"), rng.integers(0, 30))) for _ in range(2))
+        assert D.in_order(a, b) == plain(a, b)
+
+
+def test_very_long_texts(spark):
+    """Hundreds of thousands of words in question and answer, and texts without any end of a sentence."""
+    net = ByteCNN(LANGUAGES)
+    q = " ".join(f"word{i % 9000} does {i % 70}, and then it goes on" for i in range(30_000)) + "?"
+    rows = [(1, q, q), (2, q, "x" * 1_500_000), (3, "What?", "a " * 700_000), (4, None, "é" * 1_000_000 + ".")]
+    df = spark.createDataFrame(rows, "id int, q string, a string").repartition(2)
+    tagger = D.train_tagger([("What is it?", "It is the liver, and it bleeds.")] * 4, [], net)
+    assert D.defective_pairs(df, ["id"], "q", "a", net, tagger).count() <= 4
+    assert {r["id"] for r in identify(df, "a", ["id"], net, with_text=False).select("id").distinct().collect()} == {1, 2, 3, 4}
