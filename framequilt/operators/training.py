@@ -16,14 +16,14 @@ from framequilt.functions.values import seeded
 from framequilt.operators.blocks import sums_before, with_position
 from framequilt.operators.selection import sample_fraction
 
-# Names of the data sets, each with the beginning and the end of its file's name; a view stands between the two.
+# Names of the data sets, each with the beginning and the end of its file's name; a view stands between the two. One bears the name of its project.
 DATASETS = {
     "surg_segment_captions": ("captions", "_train"),
     "surg_step_descriptions": ("steps", "_train"),
     "surg_ocr_phases": ("ocr_phases", "_train"),
     "surg_video_summaries": ("summaries", ""),
     "surg_title_descriptions": ("metadata", ""),
-    "surgatlas_qa": ("train_vqa", ""),
+    "{project}_qa": ("train_vqa", ""),
     "ocr_phases_vqa": ("ocr_phases_vqa", "_train"),
 }
 VIEWS = ("", "_open", "_mis")
@@ -40,9 +40,10 @@ class Dataset:
     percent: int = 100
 
 
-def registry(root: str) -> dict[str, Dataset]:
-    """Data sets by name: every one in every view."""
-    return {f"{name}{view}": Dataset(f"{name}{view}", f"{root}/{begin}{view}{end}.jsonl") for view in VIEWS for name, (begin, end) in DATASETS.items()}
+def registry(root: str, project: str = "project") -> dict[str, Dataset]:
+    """Data sets by name: every one in every view. ``project`` is the name that the question-answer set begins with."""
+    named = {name.format(project=project): parts for name, parts in DATASETS.items()}
+    return {f"{name}{view}": Dataset(f"{name}{view}", f"{root}/{begin}{view}{end}.jsonl") for view in VIEWS for name, (begin, end) in named.items()}
 
 
 def parse_mixture(spec: str, known: dict[str, Dataset]) -> list[Dataset]:

@@ -143,8 +143,8 @@ def test_training_items(spark):
     assert got == ["more <video> placeholders than files", "video files remain unused", None, None]
     parts = spark.createDataFrame([(" a <video>b<image>",), (None,)], "t string").select(training.content_parts(F.col("t"))).collect()
     assert [r[0] for r in parts] == [["a", "<video>", "b", "<image>"], []]
-    known = training.registry("/d")
-    assert len(known) == 21 and [d.percent for d in training.parse_mixture("surgatlas_qa%50,surg_step_descriptions_mis,surgatlas_qa%0", known)] == [50, 100, 0]
+    known = training.registry("/d", "own")
+    assert len(known) == 21 and [d.percent for d in training.parse_mixture("own_qa%50,surg_step_descriptions_mis,own_qa%0", known)] == [50, 100, 0]
     with pytest.raises(ValueError, match="nope"):
         training.parse_mixture("nope%5", known)
 
