@@ -61,6 +61,8 @@ _ODDS_STEPS = (1.0, 3.0, 5.0, 8.0)
 _STRANGE_STEPS = (0.15, 0.35, 0.6)
 #: Share of finished answers below which a word's count makes it strange to them.
 STRANGE = 0.01
+#: Share of strange words below which a text is in the language of most answers, whatever the network takes it for.
+FAMILIAR = 0.35
 _LENGTH_STEPS = (6, 9)
 _REFUSED_STEPS = (-1.0, 0.0, 0.7, 1.5, 2.5)
 #: Share of sure refusals in which a word must occur to have log odds of its own, and the bounds of these.
@@ -135,14 +137,15 @@ def in_order(part: list[str], whole: list[str]) -> int:
 
 
 class Counts(dict):
-    """How words are used: word to (n, last), see ``ending_counts``; ``refused``: word to the number of sure refusals it stands in, '' to that of all."""
+    """How words are used: word to (n, last), see ``ending_counts``; ``refused``: word to the number of sure refusals it stands in, '' to that of all; ``asked``: the usual words of questions."""
 
-    def __init__(self, used: dict[str, tuple[int, int]], refused: dict[str, int] | None = None) -> None:
+    def __init__(self, used: dict[str, tuple[int, int]], refused: dict[str, int] | None = None, asked: frozenset[str] = frozenset()) -> None:
         super().__init__(used)
         self.refused = refused or {}
+        self.asked = asked
 
     def __reduce__(self):
-        return Counts, (dict(self), self.refused)
+        return Counts, (dict(self), self.refused, self.asked)
 
 
 def refused_odds(word: str, counts: Counts | dict) -> float:
@@ -206,6 +209,11 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
     x = np.zeros((int(lengths.sum()), len(_NAMES)))
     size = np.zeros(len(x), dtype=np.int64)
     n_finished, home = counts.get("", (0, -1))
+    usual = getattr(counts, "asked", frozenset())
+
+    def unheard(ws: list[str]) -> list[bool]:
+        return [counts.get(w, (0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws]
+
     refused_of: dict[str, float] = {}
     at = 0
     for no, ((q, a), cs, s) in enumerate(zip(pairs, split, asked, strict=True)):
@@ -215,13 +223,17 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
         cover = sum((bag & Counter(w for ws in wc for w in ws)).values()) / max(1, len(wq))
         order = np.argsort(s)
         lang, sure = int(order[-1]), bool(s[order[-1]] - s[order[-2]] >= 3.0 and weight(q) >= 8)
-        if home >= 0 and s[lang] - s[home] < 3.3 and weight(q) >= 8:
-            lang, sure = home, True  # a short question that may well be in the language of most
+        if home >= 0 and weight(q) >= 8 and (s[lang] - s[home] < 3.3 or sum(unheard([w for w in wq if w not in usual])) < FAMILIAR * len(wq)):
+            lang, sure = home, True  # a short question that may well be in the language of most, or one made of usual words
         own = spoken[at : at + len(cs)]
         total = own.sum(axis=0)
         each_odds = (own.max(axis=1) - own[:, lang]).tolist() if sure and len(cs) else [0.0] * len(cs)
         all_odds = float(total.max() - total[lang]) if len(cs) and sure else 0.0
         enough = weight(a) >= LEAST_LETTERS
+        # words can only be strange in the language of most answers
+        odd = [unheard(ws) if lang == home else [] for ws in wc]
+        if lang == home and sum(map(sum, odd)) < FAMILIAR * sum(map(len, wc)):
+            all_odds = 0.0
         earlier = False
         done = bool(_DONE.search(a))
         n_words = sum(map(len, wc))
@@ -233,8 +245,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
             for k, v in hit.items():
                 f[_AT[f"cue_{k}"]] = v
             f[_AT["cue_self_unable"]] = hit["self"] and hit["unable"]
-            # words can only be strange in the language of most answers
-            strange = sum(counts.get(w, (0, 0))[0] < STRANGE * n_finished and not w.isdigit() for w in ws) / max(1, len(ws)) if lang == home else 0.0
+            strange = sum(odd[i]) / max(1, len(ws))
             f[_AT[f"strange_{bisect_right(_STRANGE_STEPS, strange)}"]] = 1
             f[_AT["strange_self"]] = strange >= 0.35 and hit["self"]
             f[_AT["strange_unable"]] = strange >= 0.35 and hit["unable"]
@@ -259,7 +270,7 @@ def features(pairs: list[tuple[str, str]], net: ByteCNN, counts: Counts, ends: l
             f[_AT[f"cover_{cover_step}"]] = 1
             f[_AT["lcs_and_cover"]] = ratio >= 0.75 and cover >= 0.6
             f[_AT["prefix"]] = len(bare) < len(ws)
-            odds = each_odds[i]
+            odds = each_odds[i] if lang != home or strange >= FAMILIAR else 0.0
             if not enough:
                 odds = all_odds = 0.0
             f[_AT[f"odds_{bisect_right(_ODDS_STEPS, odds)}"]] = 1
@@ -310,14 +321,25 @@ def ending_counts(answers: list[str]) -> Counts:
     return Counts({w: (n[w], last[w]) for w in n.keys() | refused.keys()} | {"": (n[""], -1)}, refused)
 
 
+def asked_counts(questions: list[str], often: list[int]) -> Counter[str]:
+    """In how many questions each word stands; under '' the number of all with a letter. ``often`` is how often each question is asked."""
+    n: Counter[str] = Counter()
+    for q, k in zip(questions, often, strict=True):
+        if weight(q) > 0:
+            for w in {"", *words(q)}:
+                n[w] += k
+    return n
+
+
 class Corpus(NamedTuple):
-    """What is counted over all pairs: a table of word, n, last, refused (see ``ending_counts``), finished answers, sure refusals, the language of most questions (-1: none), characters of all words."""
+    """What is counted over all pairs: a table of word, n, last, refused (see ``ending_counts``), finished answers, sure refusals, the language of most questions (-1: none), characters of all words, and the words that stand in a share of STRANGE of the questions or more (at most 1 / STRANGE times the mean words of a question)."""
 
     table: DataFrame
     n_finished: int
     n_refused: int
     home: int
     chars: int
+    asked: frozenset[str]
 
     def known(self, wanted: set[str]) -> Counts:
         """Counts of the ``wanted`` words, of those that aren't strange and of those that refusals use: at most 1 / STRANGE times the mean words of a finished answer, and 1 / REFUSED times those of a sure refusal."""
@@ -325,7 +347,7 @@ class Corpus(NamedTuple):
         often = (F.col("n") >= F.lit(STRANGE) * self.n_finished) | ((F.col("refused") > 1) & (F.col("refused") >= F.lit(REFUSED) * self.n_refused))
         rows = self.table.join(F.broadcast(asked), "word", "left_semi").unionByName(self.table.filter(often))
         found = rows.collect()
-        return Counts({r["word"]: (r["n"], r["last"]) for r in found} | {"": (self.n_finished, self.home)}, {r["word"]: r["refused"] for r in found} | {"": self.n_refused})
+        return Counts({r["word"]: (r["n"], r["last"]) for r in found} | {"": (self.n_finished, self.home)}, {r["word"]: r["refused"] for r in found} | {"": self.n_refused}, self.asked)
 
 
 def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) -> Corpus:
@@ -342,16 +364,20 @@ def corpus_counts(pairs: DataFrame, question: str, answer: str, net: ByteCNN) ->
             q = [plain(t) for t in pdf["q"]]
             own = np.array([weight(t) > 0 for t in q], dtype=bool)
             n = np.bincount(held.value.score(q).argmax(axis=1), weights=pdf["n"].to_numpy() * own, minlength=len(held.value.classes))
-            yield pd.DataFrame({"lang": np.arange(len(n)), "n": n.astype(np.int64)})
+            heard = asked_counts(q, pdf["n"].tolist())
+            # a language's number stands behind '#', which is in no word
+            yield pd.DataFrame({"word": [*(f"#{i}" for i in range(len(n))), *heard], "n": [*n.astype(np.int64), *heard.values()]})
 
     told = pairs.select(F.col(answer).alias("a")).filter("a IS NOT NULL").mapInPandas(count, "word string, n bigint, last bigint, refused bigint")
     table = cut(told.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "last", "refused")]))
     none = F.col("word") == ""
     whole = table.agg(F.sum(F.when(none, F.col("n"))).alias("n"), F.sum(F.when(none, F.col("refused"))).alias("r"), F.sum(F.length("word")).alias("chars")).first()
     asked = pairs.select(F.col(question).alias("q")).filter("q IS NOT NULL").groupBy("q").agg(F.count("*").alias("n"))
-    langs = asked.repartition(parallelism(pairs.sparkSession), "q").mapInPandas(spoken, "lang bigint, n bigint").groupBy("lang").agg(F.sum("n").alias("n")).filter("n > 0").collect()
-    home = min(langs, key=lambda r: (-r["n"], r["lang"]))["lang"] if langs else -1
-    return Corpus(table.filter("word <> ''"), whole["n"] or 0, whole["r"] or 0, home, whole["chars"] or 0)
+    heard = cut(asked.repartition(parallelism(pairs.sparkSession), "q").mapInPandas(spoken, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
+    langs = {int(r["word"][1:]): r["n"] for r in heard.filter("n > 0 AND word LIKE '#%'").collect()}
+    home = min(langs, key=lambda k: (-langs[k], k)) if langs else -1
+    usual = heard.filter((F.col("word") > "") & ~F.col("word").startswith("#") & (F.col("n") >= F.lit(STRANGE) * sum(langs.values()))).collect()
+    return Corpus(table.filter("word <> ''"), whole["n"] or 0, whole["r"] or 0, home, whole["chars"] or 0, frozenset(r["word"] for r in usual))
 
 
 # Parts of refusals that training pairs are given, beside the data's own sure refusals.
@@ -393,6 +419,23 @@ def _refusal(rng: np.random.Generator) -> str:
     return t[0].upper() + t[1:]
 
 
+def _phrase(text: str, rng: np.random.Generator) -> str:
+    """Up to four neighbouring words of a text, none of them a function word, as one names a thing in short; '' where there are none."""
+    runs: list[list[str]] = [[]]
+    for c in clauses(text):
+        for w in [*words(c), ""]:
+            if w and w not in _CLOSED and not "㐀" <= w[0] <= "鿿":
+                runs[-1].append(w)
+            elif runs[-1]:
+                runs.append([])
+    runs = [r for r in runs if len(r) > 1]
+    if not runs:
+        return ""
+    r = runs[int(rng.integers(len(runs)))]
+    start = int(rng.integers(len(r) - 1))
+    return " ".join(r[start : start + int(rng.integers(2, 5))]).capitalize()
+
+
 def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], net: ByteCNN, seed: int = 0) -> list[tuple[str, str, Kind]]:
     """(question, answer, kind) of sound pairs, of the data's own sure refusals, and of broken copies. The kind is the tag of the answer's clauses, or a list of (text, tag) of its parts in order. ``foreign`` are (sentence, language)."""
     rng = np.random.default_rng(seed)
@@ -436,6 +479,9 @@ def training_pairs(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]],
                     t = t[: t.rindex(" ")] + str(rng.choice(_TAILS_CUT[3:]))
                 if not _DONE.search(t) and (len(words(t)) > 5 or any(w in _CLOSED for w in words(t))):
                     add(q, (t, "unfinished"))
+        # a short phrase of the answer or the question is in their language and complete, however it looks to the network and however much of it the question has
+        if rng.random() < 0.3 and (t := _phrase(a if rng.random() < 0.5 else q, rng)) and len(words(t)) < 0.5 * len(wq):
+            add(q, (t, "answer"))
         if rng.random() < 0.15:
             add(q, (_refusal(rng), "refusal"))
         if rng.random() < 0.2:
@@ -475,6 +521,8 @@ def train_tagger(pairs: list[tuple[str, str]], foreign: list[tuple[str, str]], n
         counts = ending_counts([a for _, a in pairs])
         if pairs:
             counts[""] = (counts[""][0], int(np.bincount(net.score([q for q, _ in pairs]).argmax(axis=1)).argmax()))
+            heard = asked_counts([q for q, _ in pairs], [1] * len(pairs))
+            counts.asked = frozenset(w for w, k in heard.items() if w and k >= STRANGE * heard[""])
     crf = CRF(TAGS, len(_NAMES))
     # where a part's end is no end of a clause, its tags say nothing
     made = [(q, a, t) for q, a, kind in made if len(t := _tags(a, kind)) == len(clauses(a)) > 0]

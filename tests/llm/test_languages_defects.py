@@ -221,6 +221,41 @@ def test_precision_and_recall_of_each_defect(spark, net, seed):
         assert right >= 0.95 * len(want) and right >= 0.95 * len(found), (defect, len(want), len(found), right, [made[i][1] for i in sorted(want ^ found)][:8])
 
 
+class _Misled:
+    """A network that takes short phrases, and one question that is often asked, for French."""
+
+    classes = ["en", "fr"]
+
+    def score(self, texts):
+        french = lambda t: "le " in t.lower() or t == "What action is being performed?" or 1 < len(t.split()) <= 3
+        return np.array([[-6.0, 0.0] if french(t) else [0.0, -6.0] for t in texts]).reshape(-1, 2)
+
+
+def test_a_misled_network_makes_no_defects():
+    """Words that most questions and answers use tell their language, whatever the network says; short phrases are complete."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    while len(pairs) < 600:
+        q, a, kind = _pair_with_defect(rng)
+        if kind is None:
+            pairs.append(("What action is being performed?" if len(pairs) % 5 == 0 else q.replace("<video>\n", ""), a))
+    net = _Misled()
+    crf, counts = D.train_tagger(pairs, [("Nous tenons le nerf sous traction.", "fr"), ("On voit le foie et le rein.", "fr")] * 5, net)
+    frequent, other = "What action is being performed?", "Why is the portal vein being handled with the stapler?"
+    sound = [(frequent, "The stapler is sealing the portal vein carefully, so that the nerve root comes into view."), (other, "Superficial nerve root"), (frequent, "Narrow bladder neck"), (other, "Portal vein")]
+    french = [(frequent, "Le chirurgien saisit le nerf sans tension."), (other, "Il faut garder le foie en vue.")]
+    x, lengths, size = D.features([*sound, *french], net, counts)
+    p, at = crf.marginals(x, lengths), np.concatenate([[0], np.cumsum(lengths)])
+    assert [D.defect_of(p[i:j], size[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] == [None] * len(sound) + ["other_language"] * len(french)
+
+
+def test_usual_words_of_questions(spark):
+    assert D.asked_counts(["What now?", "?", "now now"], [3, 9, 2]) == {"": 5, "what": 3, "now": 5}
+    rows = [(i, "aaa now?", "x") for i in range(300)] + [(300, "rare bbb?", "x"), (301, "?", "x"), (302, None, "x")]
+    corpus = D.corpus_counts(spark.createDataFrame(rows, "id int, q string, a string"), "q", "a", ByteCNN(["a", "b"]))
+    assert corpus.asked == {"aaa", "now"}
+
+
 def test_refusals_teach_words():
     answers = ["I cannot comment on such footage."] * 5 + ["The surgeon lifts the liver."] * 200
     counts = D.ending_counts(answers)
