@@ -1,20 +1,18 @@
 """Same or near-same question-answer records across splits.
 
 Records are canonicalised (case, punctuation, white space, media tags) and hashed. Equal hashes give the exact overlaps.
-For the near ones a token alignment decides. In a group with few records every evaluation record is compared with every
-training record. In all others each distinct record gets band keys, hashed from the group and from min-hashes of its
-question and of its answer; records that share a key are compared. Bands with many pairs are split into a grid.
-Work and candidates grow with the distinct records, not with their copies: those are joined to the links at the end.
+For the near ones a token alignment decides; every evaluation record is compared with every training record of its group
+that it may be like by lower bounds of the alignment's cost, so the result is that of aligning all pairs. Groups with few
+records go through one join. All others are put into bands by the words of the answer, bands with many pairs into a grid,
+and the bounds of a cell are matrix products. Copies add no work: they are joined to the links at the end.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -23,8 +21,6 @@ from pyspark.sql import functions as F
 
 from framequilt.session import cut
 
-#: Bands; each has two min-hashes of the question and two of the answer. Two thirds of word pairs in common on both sides are found with 99.9 %.
-BANDS = 40
 #: Edits a text may have, by its words; a substitution counts one and a half, a misspelling half.
 EDIT_SHARE = 0.25
 #: Words that may come or go on a side where the answer is long, whatever that side's length, as long as both sides together keep to EDIT_SHARE.
@@ -32,19 +28,20 @@ FILLERS = 4.0
 #: Answers of at most so many words say little: then the question may not have another word in place of one.
 SHORT = 4
 
-#: A group is compared as a whole where it has at most so many distinct records, and fewer pairs than band keys.
+#: A group goes through one join where it has at most so many distinct records, and so many pairs for each of them; its pairs are the same either way.
 WHOLE_GROUP = 10_000
-#: Pairs of a band above which it is split into a grid, records on a side of a cell, and most bands that are split (their table is broadcast; with more, the bound on pairs is raised).
+BANDS = 40
+#: Pairs of a band above which it is split into a grid, records on a side of a cell (a side of ten times as many is split too), and most bands that are split for their pairs (their table is broadcast; with more, the bound on pairs is raised).
 BAND_PAIRS = 1_000_000
 CELL_RECORDS = 1_000
 SPLIT_BANDS = 1_000_000
 
 _MEDIA = re.compile(r"<(?:video|image)>")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W㐀-鿿_]+")
-_RNG = np.random.default_rng(20240601)
-_MULT = _RNG.integers(1, 2**63, (2, 2 * BANDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, (2, 2 * BANDS), dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Columns that the words of a cell are told apart by; words that share one only weaken the bounds.
+_COLUMNS = 512
+#: Letters above which words aren't told apart.
+_LONG = 40
 
 
 def canonical(text: str | None) -> str:
@@ -54,36 +51,6 @@ def canonical(text: str | None) -> str:
     return " ".join(_TOKEN.findall(unicodedata.normalize("NFKC", _MEDIA.sub(" ", text)).lower()))
 
 
-def _hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the word pairs of each text (words too where it is short), laid end to end, and where each text starts."""
-    ids: dict[str, int] = {}
-    flat: list[int] = []
-    starts = []
-    for t in texts:
-        starts.append(len(flat))
-        w = t.split()
-        k = [ids.get(x) or ids.setdefault(x, zlib.crc32(x.encode()) + 1) for x in w]
-        if len(k) <= SHORT:
-            flat.extend(k or [0])
-        flat.extend(a * 4294967311 + b * 2654435761 + 7 for a, b in zip(k[:-1], k[1:], strict=True))
-    h = np.array([x & 0xFFFFFFFFFFFFFFFF for x in flat], dtype=np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return h ^ (h >> np.uint64(29)), np.array(starts, dtype=np.int64)
-
-
-def band_keys(groups: list[str], questions: list[str], answers: list[str]) -> np.ndarray:
-    """Band keys of each record: records x BANDS."""
-    sig = []
-    for side, texts in enumerate((questions, answers)):
-        h, starts = _hashes(texts)
-        sig.append(np.stack([np.minimum.reduceat(h * m + a, starts) for m, a in zip(_MULT[side], _ADD[side], strict=True)], axis=1))
-    g = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in groups], dtype=np.uint64)[:, None]
-    key = (g + np.uint64(1)) * _MIX + np.arange(BANDS, dtype=np.uint64)[None, :]
-    for part in (sig[0][:, 0::2], sig[0][:, 1::2], sig[1][:, 0::2], sig[1][:, 1::2]):
-        key = (key ^ (key >> np.uint64(30))) * _MIX + part
-    return (key ^ (key >> np.uint64(32))).view(np.int64)
-
-
 def misspelt(a: str, b: str) -> bool:
     """Whether two words are one with a letter more, less or other, or two neighbours exchanged. Digits and short words must agree."""
     if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1 or any(c.isdigit() for c in a + b):
@@ -167,19 +134,74 @@ def alike(q1: str, a1: str, q2: str, a2: str) -> bool:
     return total <= max(1.0, EDIT_SHARE * sum(size))
 
 
-def _canonicalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(q=[canonical(t) for t in pdf["q"]], a=[canonical(t) for t in pdf["a"]])
+def word_classes(words: set[str]) -> dict[str, int]:
+    """A number for each word, the same for words that are ``misspelt`` forms of each other (maybe by others in between): such words are equal without one letter each."""
+    first: dict[str, str] = {}
+    parent = {w: w for w in words}
+
+    def root(w: str) -> str:
+        while parent[w] != w:
+            parent[w] = parent[parent[w]]
+            w = parent[w]
+        return w
+
+    for w in words:
+        if len(w) < 4 or any(c.isdigit() for c in w):
+            continue
+        forms = [w, *(w[:i] + w[i + 1 :] for i in range(len(w)))] if len(w) <= _LONG else []
+        for v in [*forms, " "] if len(w) >= _LONG else forms:
+            parent[root(w)] = root(first.setdefault(v, w))
+    numbers: dict[str, int] = {}
+    return {w: numbers.setdefault(root(w), len(numbers)) for w in words}
+
 
+def candidates(e: list[tuple[str, str]], t: list[tuple[str, str]]) -> np.ndarray:
+    """Which (question, answer) of e may be ``alike`` which of t: never False where they are.
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A misspelling costs half and changes no class; a word more or less costs one and stands alone, two that are
+    exchanged cost one and a half and stand alone both. So a side costs at least three quarters for each class that only
+    one text has, and a quarter for each word of their difference in length.
+    """
+    parts = [[[x[side].split() for x in rows] for rows in (e, t)] for side in (0, 1)]
+    classes = word_classes({w for side in parts for rows in side for x in rows for w in x})
+    least, size = [], []
+    for side in parts:
+        here = []
+        for rows in side:
+            m = np.zeros((len(rows), _COLUMNS), dtype=np.float32)
+            for i, x in enumerate(rows):
+                m[i, [classes[w] % _COLUMNS for w in x]] = 1
+            here.append(m)
+        n_e, n_t = (np.array([len(x) for x in rows], dtype=np.float32) for rows in side)
+        alone = here[0].sum(axis=1)[:, None] + here[1].sum(axis=1)[None, :] - 2 * (here[0] @ here[1].T)
+        least.append(0.75 * alone + 0.25 * np.abs(n_e[:, None] - n_t[None, :]))
+        size.append((n_e, n_t, np.maximum(n_e[:, None], n_t[None, :])))
+    may = least[0] + least[1] <= np.maximum(1.0, EDIT_SHARE * (size[0][2] + size[1][2]))
+    short = np.minimum(size[1][0][:, None], size[1][1][None, :]) <= SHORT
+    for low, (_, _, n) in zip(least, size, strict=True):
+        most = np.where(n < SHORT, 0.5, np.maximum(1.0, EDIT_SHARE * n))
+        may &= low <= np.where(short, most, np.maximum(most, FILLERS))
+    return may
+
+
+def _compare(e: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+    """Near pairs of a cell."""
+    found: list[tuple[str, str]] = []
+    step = max(1, CELL_RECORDS)
+    sides = [list(zip(x[f"q_{tag}"], x[f"a_{tag}"], x[f"digest_{tag}"], strict=True)) for x, tag in ((e, "e"), (t, "t"))]
+    for i in range(0, len(e), step):
+        for j in range(0, len(t), step):
+            one, two = sides[0][i : i + step], sides[1][j : j + step]
+            for x, y in np.argwhere(candidates([r[:2] for r in one], [r[:2] for r in two])).tolist():
+                (q, a, d), (r, b, f) = one[x], two[y]
+                if d != f and alike(q, a, r, b):
+                    found.append((d, f))
+    return pd.DataFrame(found, columns=["digest_e", "digest_t"], dtype=object)
+
+
+def _canonicalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        for start in range(0, len(pdf), 2000):
-            p = pdf.iloc[start : start + 2000]
-            keys = band_keys(p["grp"].tolist(), p["q"].tolist(), p["a"].tolist())
-            nq, na = p["q"].str.count(" ").to_numpy() + 1, p["a"].str.count(" ").to_numpy() + 1
-            rep = lambda v: np.repeat(np.asarray(v), BANDS)
-            yield pd.DataFrame({"band": keys.ravel(), "id": rep(p["id"]), "nq": rep(np.minimum(nq, 32767)), "na": rep(np.minimum(na, 32767))})
+        yield pdf.assign(q=[canonical(t) for t in pdf["q"]], a=[canonical(t) for t in pdf["a"]])
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +220,7 @@ def canonical_records(rows: DataFrame, row_id: str, group: str, split: str, ques
 
 
 def _group_sizes(texts: DataFrame) -> DataFrame:
-    """Records of each side of each group, and whether it is compared as a whole."""
+    """Records of each side of each group, and whether it goes through one join: a matter of time only, as either way finds all pairs."""
     sizes = texts.groupBy("grp").agg(F.count_if("eval").alias("n_e"), F.count_if("train").alias("n_t"))
     n = F.col("n_e") + F.col("n_t")
     return sizes.withColumn("whole", (n <= WHOLE_GROUP) & (F.col("n_e") * F.col("n_t") <= BANDS * n))
@@ -220,7 +242,7 @@ def _words_suffice(e: str, t: str) -> Column:
 
 
 def _by_kind(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of groups that are compared as a whole, and the others. Groups above WHOLE_GROUP go by a broadcast: there is at most one for so many records; no group that is joined by its key is larger."""
+    """Records of groups that go through one join, and the others. Groups above WHOLE_GROUP go by a broadcast: there is at most one for so many records; no group that is joined by its key is larger."""
     sizes = cut(_group_sizes(texts))
     hot = F.broadcast(sizes.filter(F.col("n_e") + F.col("n_t") > WHOLE_GROUP).select("grp"))
     rest = texts.join(hot, "grp", "left_anti").join(sizes.filter("n_e > 0 AND n_t > 0").select("grp", "whole"), "grp")
@@ -232,7 +254,7 @@ def _side(rows: DataFrame, side: str, tag: str, *columns: str) -> DataFrame:
 
 
 def _whole_groups(texts: DataFrame) -> DataFrame:
-    """Near pairs of the groups that are compared as a whole; the texts go through one join and straight to the alignment."""
+    """Near pairs of the groups that go through one join, and their texts straight to the alignment."""
     rows = _by_kind(texts)[0]
     e, t = (_side(rows, s, tag, "grp", "digest", "q", "a") for s, tag in (("eval", "e"), ("train", "t")))
     pairs = e.join(t, (F.col("grp_e") == F.col("grp_t")) & (F.col("digest_e") != F.col("digest_t")) & _near_length(_words("q_e"), _words("q_t")) & _near_length(_words("a_e"), _words("a_t")))
@@ -241,15 +263,15 @@ def _whole_groups(texts: DataFrame) -> DataFrame:
 
 
 def _heavy_bands(e: DataFrame, t: DataFrame) -> DataFrame:
-    """Bands with more than BAND_PAIRS pairs (band, cells_e, cells_t): at most SPLIT_BANDS."""
+    """Bands that are split (band, cells_e, cells_t): those with more than BAND_PAIRS pairs, at most SPLIT_BANDS, and those with a large side, at most one for so many records."""
     n_e, n_t = (x.groupBy("band").agg(F.count("*").alias(n)) for x, n in ((e, "n_e"), (t, "n_t")))
-    # a band needs at least one record beyond the root on one side: most bands never reach the join
-    many = cut(n_e.join(n_t, "band").filter(F.col("n_e") * F.col("n_t") > BAND_PAIRS))
+    large = F.greatest("n_e", "n_t") > 10 * CELL_RECORDS
+    many = cut(n_e.join(n_t, "band").filter((F.col("n_e") * F.col("n_t") > BAND_PAIRS) | large))
     most = BAND_PAIRS
     while many.filter(F.col("n_e") * F.col("n_t") > most).count() > SPLIT_BANDS:
         most *= 4
     cells = lambda n: F.ceil(F.col(n) / CELL_RECORDS).cast("int")
-    return many.filter(F.col("n_e") * F.col("n_t") > most).select("band", cells("n_e").alias("cells_e"), cells("n_t").alias("cells_t"))
+    return many.filter((F.col("n_e") * F.col("n_t") > most) | large).select("band", cells("n_e").alias("cells_e"), cells("n_t").alias("cells_t"))
 
 
 def _in_grid(rows: DataFrame, heavy: DataFrame, own: str, other: str, row: str, column: str, record: str) -> DataFrame:
@@ -258,23 +280,26 @@ def _in_grid(rows: DataFrame, heavy: DataFrame, own: str, other: str, row: str,
     return joined.withColumn(column, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("cells_e", "cells_t")
 
 
-def _banded(texts: DataFrame) -> DataFrame:
-    """Near pairs of all other groups, by bands."""
-    rows = cut(_by_kind(texts)[1])
+def _band(n: Column) -> Column:
+    """Band of a number of words; never less for more words."""
+    return F.when(n < 32, F.floor(n / 8)).otherwise(4 + F.floor(F.log(n / 32) / F.log(F.lit(1.5)))).cast("int")
 
-    def banded(side: str, tag: str) -> DataFrame:
-        told = rows.filter(side).select("grp", "q", "a", "id").mapInPandas(_bands, "band bigint, id bigint, nq smallint, na smallint")
-        return told.select("band", *[F.col(c).alias(f"{c}_{tag}") for c in ("id", "nq", "na")])
 
-    e, t = banded("eval", "e"), banded("train", "t")
+def _banded(texts: DataFrame) -> DataFrame:
+    """Near pairs of all other groups. A training record is in the band of its answer's length, an evaluation record in all bands of lengths that ``_near_length`` allows, so each pair meets in one cell."""
+    n = _words("a")
+    rows = cut(_by_kind(texts)[1])
+    least, most = n - F.greatest(F.lit(FILLERS), n * EDIT_SHARE), F.greatest(n + FILLERS, n / (1 - EDIT_SHARE))
+    told = lambda x, side, no: x.filter(side).withColumn("no", no).select(F.concat_ws("\u0001", F.col("grp"), F.col("no").cast("string")).alias("band"), "id", "digest", "q", "a")
+    e = told(rows, "eval", F.explode(F.sequence(_band(F.greatest(F.lit(0.0), F.floor(least))), _band(F.ceil(most)))))
+    t = told(rows, "train", _band(n))
     heavy = cut(_heavy_bands(e, t))
-    e = _in_grid(e, heavy, "cells_e", "cells_t", "__row", "__column", "id_e")
-    t = _in_grid(t, heavy, "cells_t", "cells_e", "__column", "__row", "id_t")
-    pairs = e.join(t, ["band", "__row", "__column"]).filter((F.col("id_e") != F.col("id_t")) & _near_length(F.col("nq_e"), F.col("nq_t")) & _near_length(F.col("na_e"), F.col("na_t"))).select("id_e", "id_t").distinct()
-    full = pairs.join(_side(rows, "eval", "e", "id", "grp", "digest", "q", "a"), "id_e").join(_side(rows, "train", "t", "id", "grp", "digest", "q", "a"), "id_t")
-    # keys are hashes: only this makes sure of the group
-    full = full.filter((F.col("grp_e") == F.col("grp_t")) & (F.col("digest_e") != F.col("digest_t")))
-    return full.select("digest_e", "digest_t", "q_e", "a_e", "q_t", "a_t").mapInPandas(_verify, "digest_e string, digest_t string")
+    e = _in_grid(e, heavy, "cells_e", "cells_t", "__row", "__column", "id")
+    t = _in_grid(t, heavy, "cells_t", "cells_e", "__column", "__row", "id")
+    cell = ["band", "__row", "__column"]
+    # both come from one table: new names keep their columns apart
+    e, t = (x.select(*[F.col(c).alias(f"{c}_{tag}") for c in (*cell, "digest", "q", "a")]).groupBy(*[f"{c}_{tag}" for c in cell]) for x, tag in ((e, "e"), (t, "t")))
+    return e.cogroup(t).applyInPandas(_compare, "digest_e string, digest_t string")
 
 
 def cross_split_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -119,3 +119,46 @@ def test_groups_with_one_crc_stay_apart(spark, monkeypatch, whole):
     q, a = "what is the stapler doing near the portal vein in this clip", "it closes the hepatic artery before the team goes on"
     rows = [(1, "mJfuAOIuwAr", "eval", q, a), (2, "v0153503", "train", q, a + " now"), (3, "mJfuAOIuwAr", "train", q, a + " then")]
     assert _pairs(spark.createDataFrame(rows, "row_id bigint, g string, split string, q string, a string"))[0] == {(1, 3)}
+
+
+_LONG_WORDS = "surgeon retracts gallbladder carefully towards shoulder before clipping cystic artery while assistant irrigates hepatic surface again".split()
+
+
+def _unlike_pairs():
+    """Records that are alike although hardly two neighbouring words are the same: every other word is misspelt."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(24):
+        w = rng.sample(_LONG_WORDS, 16)
+        q = f"which step number {i} is shown here right now"
+        rows.append((2 * i, "g" if i % 3 else "h", "eval", q, " ".join(w)))
+        rows.append((2 * i + 1, "g" if i % 3 else "h", "train", q, " ".join(x[:2] + x[3:] if k % 2 else x for k, x in enumerate(w))))
+    return rows
+
+
+@pytest.mark.parametrize("whole", [0, 10**9])
+def test_pairs_don_t_depend_on_the_size_of_the_group(spark, monkeypatch, whole):
+    """One join or bands in a grid: all pairs of the alignment, and no other."""
+    monkeypatch.setattr(O, "WHOLE_GROUP", whole)
+    monkeypatch.setattr(O, "BANDS", 40 if not whole else 10**9)
+    rows = _unlike_pairs() + [(1000 + i, *r) for i, *r in _rows(200, 9, 200)]
+    got = _pairs(spark.createDataFrame(rows, "row_id bigint, g string, split string, q string, a string"))[0]
+    known = [(i, g, s, O.canonical(q), O.canonical(a)) for i, g, s, q, a in rows if g and s]
+    want = {(x[0], y[0]) for x in known if x[2] != "train" for y in known if y[2] == "train" and x[1] == y[1] and x[3] and x[4] and y[3] and y[4] and O.alike(x[3], x[4], y[3], y[4])}
+    assert got == want and {(2 * i, 2 * i + 1) for i in range(24)} <= got
+
+
+def test_candidates_lose_no_pair():
+    rng = random.Random(12)
+    some = ["the", "vein", "veins", "vien", "left", "lfet", "of", "liver", "livre", "x" * 39, "x" * 40, "x" * 41, "x" * 42, "12345"]
+    rows = []
+    for _ in range(120):
+        q, a = (rng.choices(some, k=rng.randrange(1, 9)) for _ in range(2))
+        for _ in range(3):
+            rows.append((" ".join(q), " ".join(a)))
+            side = rng.choice((q, a))
+            k = rng.randrange(len(side) + 1)
+            side[k : k + rng.randrange(0, 2)] = rng.choices(some, k=1)
+    may = O.candidates(rows[::2], rows[1::2])
+    alike = [(i, j) for i, x in enumerate(rows[::2]) for j, y in enumerate(rows[1::2]) if O.alike(*x, *y)]
+    assert len(alike) > 100 and all(may[i, j] for i, j in alike) and may.mean() < 0.5
